@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annalist.operators import activity, lookup, ownership, phases, releases, reports, stability
+from annalist.operators import activity, lineage, ownership, phases, releases, reports, stability
 from annalist.sources import tables
 from catalog.registry import over
 from catalog.views import AS_OF, RECENT
@@ -90,8 +90,7 @@ def release_list(h):
       AND (m."timestamp", m.hash) <= (greatest(a."timestamp", b."timestamp"),
                                       CASE WHEN a."timestamp" < b."timestamp" THEN b.hash ELSE a.hash END)""")
 def release_summary(h):
-    both = ["cfcd208495d565ef66e7dff9f98764da", "8c235f89a8143a28a1d6067e959dd858"]
-    ends = h.commits.filter(F.col("hash").isin(both)).orderBy("timestamp").collect()
+    ends = h.commits.filter(F.col("hash").isin(F.md5(F.lit("0")), F.md5(F.lit("1500")))).orderBy("timestamp").collect()
     return releases.release_summary(h, ends[1]["hash"], ends[0]["hash"])
 
 
@@ -351,7 +350,7 @@ def hotspot_notes(h):
      FROM h_profile WHERE change_count >= 5 AND modified >= 3
      ORDER BY change_count DESC, function_name, file_path LIMIT 10)
     UNION ALL
-    (SELECT 'stale', name, file_path,
+    (SELECT 'stale', name, f.file_path,
             CASE WHEN max(last_ts) IS NULL THEN 'Never changed since indexing.'
                  ELSE 'Last changed ' || strftime(to_timestamp(max(last_ts)) AT TIME ZONE 'UTC', '%Y-%m-%d') || ', '
                       || (max(change_count) * count(*)) || ' total changes.' END
@@ -419,8 +418,6 @@ def summary(h):
      GROUP BY function_name, file_path ORDER BY count(*) DESC, function_name, file_path LIMIT 10)""")
 def why_function(h):
     told = reports.why(h, "red_widget_1", AS_OF, file_filter="brand")
-    from annalist.operators import lineage
-
     history = lineage.function_history(h, "red_widget_1", "brand", fuzzy=True, limit=10)
     rows = {
         "history": history.select(F.concat("commit_hash", "change_type", "file_path").alias("row")),

@@ -97,10 +97,10 @@ BLOCKS: dict[str, tuple[str, list[str], list[tuple[str, str, int, int, str]]]] =
     ),
     "cpp": (
         "cpp",
-        ["class Ring_{i} {", "};", "static char *spin_{i}(char *s) {", "    s[0] = '}';", "}"],
+        ["class Ring_{i} {", "};", "static char* spin_{i}(char *s) {", "    s[0] = '}';", "}"],
         [
             ("Ring_{i}", "class", 1, 2, "class Ring_{i} {"),
-            ("spin_{i}", "function", 3, 5, "static char *spin_{i}(char *s) {"),
+            ("spin_{i}", "function", 3, 5, "static char* spin_{i}(char *s) {"),
         ],
     ),
 }
@@ -160,7 +160,11 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("l_partkey"), "p_type",
         (F.col("p_size") % 3 + 2).cast("int").alias("n"),
     )
-    return items.join(parts, "l_partkey")
+    # the texts built from these small rows are what costs, so the rows are spread by count
+    width = max(
+        4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return items.join(parts, "l_partkey").repartition(width, "l_orderkey", "l_partkey")
 
 
 def _is_python() -> Column:
@@ -303,7 +307,22 @@ def _block_values() -> str:
     return ", ".join(rows)
 
 
+def _block_sources() -> str:
+    rows = []
+    for number, (name, (suffix, lines, found)) in enumerate(BLOCKS.items()):
+        for definition, kind, first, last, _ in found:
+            source = _quoted("\n".join(lines[first - 1 : last]))
+            rows.append(
+                f"({number}, '{name}', '{suffix}', {len(lines)}, {_quoted(definition)}, '{kind}',"
+                f" {first}, {last}, {source})"
+            )
+    return ", ".join(rows)
+
+
 SQL = {
+    "h_block_sources": f"""
+        SELECT * FROM (VALUES {_block_sources()})
+          v(number, language, suffix, size, name, kind, first, last, source)""",
     "h_blocks": f"""
         SELECT * FROM (VALUES {_block_values()})
           v(number, language, suffix, size, name, kind, first, last, signature)""",

@@ -407,16 +407,16 @@ def _split_sql(value: str) -> str:
     ]:
         hump = rf"regexp_replace({hump}, '{pattern}', '\1 \2', 'g')"
     humps = (
-        f"flatten(list_transform({token_list}, t -> CASE WHEN contains({hump}, ' ')"
+        f"flatten(list_transform({token_list}, lambda t: CASE WHEN contains({hump}, ' ')"
         f" THEN str_split(lower({hump}), ' ') ELSE [] END))"
     )
     snakes = (
-        f"flatten(list_transform({token_list}, t -> CASE WHEN contains(t, '_')"
-        " THEN list_filter(str_split(lower(t), '_'), p -> p <> '') ELSE [] END))"
+        f"flatten(list_transform({token_list}, lambda t: CASE WHEN contains(t, '_')"
+        " THEN list_filter(str_split(lower(t), '_'), lambda p: p <> '') ELSE [] END))"
     )
     words = (
         f"list_sort(list_distinct(list_filter({token_list} || {humps} || {snakes},"
-        f" w -> w <> {value})))"
+        f" lambda w: w <> {value})))"
     )
     return (
         f"CASE WHEN len({words}) = 0 THEN {value}"
