@@ -100,13 +100,20 @@ def _folding() -> tuple[str, str]:
 def fold(text: Column) -> Column:
     """Lower case without diacritics; bare combining marks vanish."""
     marked, plain = _folding()
-    lowered = F.translate(F.lower(text), marked, plain)
-    return F.regexp_replace(lowered, r"[\u0300-\u036f]", "")
+    bare = F.regexp_replace(F.translate(F.lower(text), marked, plain), r"[\u0300-\u036f]", "")
+    return F.when(text.rlike(r"\P{ASCII}"), bare).otherwise(F.lower(text))
+
+
+# A token is a run of letters and digits; everything else, "_" included, separates.
+TOKEN = r"[\p{L}\p{N}\p{Co}]+"
+
+
+def folded_tokens(folded: Column) -> Column:
+    return F.regexp_extract_all(folded, F.lit(TOKEN), 0)
 
 
 def search_tokens(text: Column) -> Column:
-    """Runs of letters and digits; everything else, ``_`` included, separates."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), 0)
+    return folded_tokens(fold(F.coalesce(text, F.lit(""))))
 
 
 # ---- query class ----------------------------------------------------------

@@ -8,7 +8,7 @@ integer arrays per file.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,14 +119,15 @@ def _name_and_kind(language: Column, line: Column) -> tuple[Column, Column]:
 def _indented_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
     """Last line with text before the next line that is not indented deeper."""
     filled = np.flatnonzero(levels >= 0)
-    following = np.full(len(filled), len(filled))
+    depth = levels[filled].tolist()
+    following = [len(filled)] * len(filled)
     open_lines: list[int] = []
-    for position, level in enumerate(levels[filled].tolist()):
-        while open_lines and levels[filled[open_lines[-1]]] >= level:
+    for position, level in enumerate(depth):
+        while open_lines and depth[open_lines[-1]] >= level:
             following[open_lines.pop()] = position
         open_lines.append(position)
     at = np.searchsorted(filled, starts)
-    return (filled[following[at] - 1] + 1).tolist()
+    return [int(filled[following[i] - 1]) + 1 for i in at.tolist()]
 
 
 def _braced_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
@@ -142,17 +143,19 @@ def _braced_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
     return ends
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _block_ends(levels: pd.Series, starts: pd.Series, braces: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _block_ends(levels: pa.Array, starts: pa.Array, braces: pa.Array) -> pa.Array:
     """Last line (from 1) of each definition, given its first line (from 0)."""
-    ends = []
-    for level, start, braced in zip(levels, starts, braces):
-        if len(start) == 0:
-            ends.append([])
-            continue
-        level, start = np.asarray(level, dtype=np.int64), np.asarray(start, dtype=np.int64)
-        ends.append((_braced_ends if braced else _indented_ends)(level, start))
-    return pd.Series(ends)
+    level_at, start_at = levels.offsets.to_numpy(), starts.offsets.to_numpy()
+    level_values = levels.values.to_numpy(zero_copy_only=False)
+    start_values = starts.values.to_numpy(zero_copy_only=False)
+    ends: list[int] = []
+    for i, braced in enumerate(braces.to_pylist()):
+        level = level_values[level_at[i] : level_at[i + 1]]
+        start = start_values[start_at[i] : start_at[i + 1]]
+        ends += (_braced_ends if braced else _indented_ends)(level, start)
+    offsets = pa.array(start_at - start_at[0], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int32()))
 
 
 def parse(files: DataFrame, keys: list[str], content: str, with_body: bool = False) -> DataFrame:

@@ -106,16 +106,27 @@ def query_terms(query: str) -> list[list[str]]:
     return [p for p in phrases if p]
 
 
-def _occurrences(tokens: Column, phrase: list[str]) -> Column:
-    """How often the phrase stands in the tokens, at adjacent positions."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-
-    def here(_: Column, i: Column) -> Column:
-        parts = [F.try_element_at(tokens, i + 1 + k) == word for k, word in enumerate(phrase)]
-        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+def _occurrences(folded: Column, phrase: list[str]) -> Column:
+    """How often the phrase stands in a field, at adjacent positions.
 
-    return F.size(F.filter(tokens, here))
+    Only fields that contain the letters of the phrase are cut into tokens.
+    """
+    tokens = text.folded_tokens(folded)
+    if len(phrase) == 1:
+        hits = F.filter(tokens, lambda t: t == phrase[0])
+    else:
+        pairs = [
+            F.slice(tokens, k + 1, F.greatest(F.size(tokens) - len(phrase) + 1, F.lit(0)))
+            for k in range(len(phrase))
+        ]
+        names = [str(k) for k in range(len(phrase))]
+        rows = F.arrays_zip(*[p.alias(n) for p, n in zip(pairs, names)])
+        hits = F.filter(
+            rows,
+            lambda row: reduce(lambda a, b: a & b, [row[n] == w for n, w in zip(names, phrase)]),
+        )
+    possible = reduce(lambda a, b: a & b, [F.contains(folded, F.lit(w)) for w in phrase])
+    return F.when(possible, F.size(hits)).otherwise(0)
 
 
 def keyword_scores(docs: DataFrame, query: str, columns: list[str] = DOCUMENT) -> DataFrame:
@@ -129,19 +140,18 @@ def keyword_scores(docs: DataFrame, query: str, columns: list[str] = DOCUMENT) -
     if not terms:
         return docs.withColumn("score", F.lit(0.0)).limit(0)
     names = [f"tf{i}" for i in range(len(terms))]
-    tokenized = docs.select(
-        "*", F.inline(F.array(F.struct(F.array(*[text.search_tokens(F.col(c)) for c in columns]).alias("fields"))))
-    )
+    folded = [text.fold(F.coalesce(c, F.lit(""))).alias(f"folded{i}") for i, c in enumerate(columns)]
+    # a generator keeps the folding from being repeated by every expression that reads it
+    prepared = docs.select("*", F.inline(F.array(F.struct(*folded))))
+    fields = [F.col(f"folded{i}") for i in range(len(columns))]
 
-    def total(measure) -> Column:
-        return F.aggregate(
-            F.transform("fields", measure), F.lit(0), lambda sum_, n: sum_ + n
-        )
+    def total(parts: list[Column]) -> Column:
+        return reduce(lambda a, b: a + b, parts)
 
-    counted = tokenized.select(
+    counted = prepared.select(
         *docs.columns,
-        total(F.size).alias("length"),
-        *[total(lambda f, p=p: _occurrences(f, p)).alias(n) for n, p in zip(names, terms)],
+        total([F.regexp_count(f, F.lit(text.TOKEN)) for f in fields]).alias("length"),
+        *[total([_occurrences(f, t) for f in fields]).alias(n) for n, t in zip(names, terms)],
     )
     statistics = counted.agg(
         F.count("*").alias("n_docs"),

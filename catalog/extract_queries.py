@@ -318,7 +318,7 @@ def _changelog(spark, sf_dir):
 @direct(sql="""
     SELECT doc_id, position, version, date, title FROM documents, LATERAL (
         VALUES (1, '1.' || (doc_id % 9) || '.2', '2024-0' || (doc_id % 9 + 1) || '-17', '— ' || source),
-               (2, '2.' || (doc_id % 5), '2025-11-16', lang),
+               (2, '2.' || (doc_id % 5), '2025-11-16', '-' || lang),
                (3, '1.' || (doc_id % 9) || '.2', '2024-0' || (doc_id % 9 + 1) || '-17', '— ' || source),
                (4, '2.' || (doc_id % 5), '2025-11-16', '')) m(position, version, date, title)""")
 def changelog_milestones(spark, sf_dir):

@@ -110,6 +110,11 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @view
 def function_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes_of(spark, sf_dir, read(spark, sf_dir, "lineitem"))
+
+
+def changes_of(spark: SparkSession, sf_dir: str, lineitem: DataFrame) -> DataFrame:
+    """Changes of the given line items, stored or streamed."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", *_commit_columns())
     parts = _parts(spark, sf_dir).filter(F.col("p_partkey") % 11 != 3)
     kind = (
@@ -119,8 +124,7 @@ def function_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("modified")
     )
     return (
-        read(spark, sf_dir, "lineitem")
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.col("fn").alias("function_name"),
