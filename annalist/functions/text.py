@@ -51,6 +51,10 @@ def first_line(message: Column, length: int = 120) -> Column:
 # ---- identifiers ----------------------------------------------------------
 
 
+# Where a part ends inside a token: at a hump, after an acronym, at a digit.
+_HUMP = r"[a-z][A-Z]|[A-Z]{2}[a-z]|(?U:[a-zA-Z]\d|\d[a-zA-Z])"
+
+
 def _words(token: Column) -> Column:
     spaced = F.regexp_replace(token, r"([a-z])([A-Z])", "$1 $2")
     spaced = F.regexp_replace(spaced, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -58,28 +62,25 @@ def _words(token: Column) -> Column:
     return F.regexp_replace(spaced, r"((?U)\d)([a-zA-Z])", "$1 $2")
 
 
+def _parts(token: Column) -> Column:
+    """The token, its CamelCase and digit parts, and its snake parts, '' among them."""
+    none = F.array().cast("array<string>")
+    humps = F.split(F.lower(_words(token)), " ")
+    snakes = F.split(F.lower(token), "_")
+    return F.concat(
+        F.array(token),
+        F.when(token.rlike(_HUMP), humps).otherwise(none),
+        F.when(F.contains(token, F.lit("_")), snakes).otherwise(none),
+    )
+
+
 def split_identifiers(text: Column) -> Column:
     """The text, followed by its identifiers and their CamelCase, digit and snake parts."""
-    none = F.array().cast("array<string>")
     tokens = F.regexp_extract_all(text, F.lit(r"[A-Za-z_](?U:\w)*"), 0)
-    humps = F.transform(
-        F.transform(tokens, _words),
-        lambda w: F.when(F.contains(w, F.lit(" ")), F.split(F.lower(w), " ")).otherwise(none),
-    )
-    snakes = F.transform(
-        tokens,
-        lambda t: F.when(
-            F.contains(t, F.lit("_")), F.filter(F.split(F.lower(t), "_"), lambda p: p != "")
-        ).otherwise(none),
-    )
     extra = F.sort_array(
-        F.array_except(
-            F.concat(tokens, F.flatten(humps), F.flatten(snakes)), F.array(text)
-        )
-    )
-    return F.when(F.size(extra) == 0, text).otherwise(
-        F.concat(text, F.lit(" "), F.array_join(extra, " "))
+        F.array_except(F.flatten(F.transform(tokens, _parts)), F.array(text, F.lit("")))
     )
+    return F.array_join(F.concat(F.array(text), extra), " ")
 
 
 # ---- search tokens --------------------------------------------------------
