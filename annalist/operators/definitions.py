@@ -7,6 +7,8 @@ integer arrays per file.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,14 +18,14 @@ from pyspark.sql import types as T
 from annalist.functions import paths
 from annalist.schema import History
 
-# Line patterns of definitions, and the group that holds the name.
-_PYTHON = r"^(\s*)(def|class)\s+(\w+)"
+# Line patterns of definitions.
+_PYTHON = r"^\s*(?:def\s+(\w+)|class\s+(\w+))"
 _JS_NAMED = r"(?:export\s+)?(?:async\s+)?(?:function\s+(\w+)|class\s+(\w+))"
 _JS_ARROW = (
     r"(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[A-Za-z_]\w*)\s*=>"
 )
 _RUST = (
-    r"(?:pub\s+)?(?:async\s+)?(?:unsafe\s+)?(?:(fn)\s+(\w+)|(struct|enum|trait|impl)\s+(\w+))"
+    r"(?:pub\s+)?(?:async\s+)?(?:unsafe\s+)?(?:fn\s+(\w+)|(?:struct|enum|trait|impl)\s+(\w+))"
 )
 _GO = r"(?:func\s+(?:\(\w+\s+\*?\w+\)\s+)?(\w+)|type\s+(\w+)\s+(?:struct|interface))"
 _JAVA_TYPE = (
@@ -37,17 +39,19 @@ _C_FUNCTION = r"(?:\w[\w\s\*]*?)\s+(\w+)\s*\([^)]*\)\s*\{"
 JAVA_KEYWORDS = [
     "if", "else", "while", "for", "switch", "catch", "synchronized", "return", "throw", "new", "try",
 ]
-# Per language, alternatives in the order they are tried, as
-# (pattern, [(name group, kind), ...]).
-GRAMMARS: dict[str, list[tuple[str, list[tuple[int, str]]]]] = {
-    "python": [(_PYTHON, [(3, "")])],
-    "javascript": [(_JS_NAMED, [(1, "function"), (2, "class")]), (_JS_ARROW, [(1, "function")])],
-    "typescript": [(_JS_NAMED, [(1, "function"), (2, "class")]), (_JS_ARROW, [(1, "function")])],
-    "rust": [(_RUST, [(2, "function"), (4, "class")])],
-    "go": [(_GO, [(1, "function"), (2, "class")])],
-    "java": [(_JAVA_TYPE, [(1, "class")]), (_JAVA_METHOD, [(1, "function")])],
-    "c": [(_C_TYPE, [(1, "class")]), (_C_FUNCTION, [(1, "function")])],
-    "cpp": [(_C_TYPE, [(1, "class")]), (_C_FUNCTION, [(1, "function")])],
+# Per language, the patterns in the order they are tried, each with the
+# groups that hold the name of a function and of a class (0 for none).
+_SCRIPT = [(_JS_NAMED, 1, 2), (_JS_ARROW, 1, 0)]
+_C = [(_C_TYPE, 0, 1), (_C_FUNCTION, 1, 0)]
+GRAMMARS: dict[str, list[tuple[str, int, int]]] = {
+    "python": [(_PYTHON, 1, 2)],
+    "javascript": _SCRIPT,
+    "typescript": _SCRIPT,
+    "rust": [(_RUST, 1, 2)],
+    "go": [(_GO, 1, 2)],
+    "java": [(_JAVA_TYPE, 0, 1), (_JAVA_METHOD, 1, 0)],
+    "c": _C,
+    "cpp": _C,
 }
 # Fixed value: how far a closing brace is looked for, in lines.
 BRACE_SCAN = 1000
@@ -86,34 +90,28 @@ def _balance(clean: Column) -> Column:
 
 def _defines(language: Column, line: Column) -> Column:
     column = F.lit(False)
-    for name, alternatives in GRAMMARS.items():
-        hit = line.rlike(_UNICODE + alternatives[0][0])
-        for pattern, _ in alternatives[1:]:
-            hit = hit | line.rlike(_UNICODE + pattern)
-        column = F.when(language == name, hit).otherwise(column)
+    for name, patterns in GRAMMARS.items():
+        hits = [line.rlike(_UNICODE + pattern) for pattern, _, _ in patterns]
+        column = F.when(language == name, reduce(lambda a, b: a | b, hits)).otherwise(column)
     return column
 
 
-def _name_and_kind(language: Column, line: Column) -> tuple[Column, Column]:
-    names, kinds = F.lit(""), F.lit("")
-    for lang, alternatives in GRAMMARS.items():
-        name, kind = F.lit(""), F.lit("")
-        for pattern, groups in reversed(alternatives):
-            found = line.rlike(_UNICODE + pattern)
-            inner_name, inner_kind = F.lit(""), F.lit("")
-            for group, label in reversed(groups):
-                value = F.regexp_extract(line, _UNICODE + pattern, group)
-                inner_name = F.when(value != "", value).otherwise(inner_name)
-                inner_kind = F.when(value != "", F.lit(label)).otherwise(inner_kind)
-            name = F.when(found, inner_name).otherwise(name)
-            kind = F.when(found, inner_kind).otherwise(kind)
-        names = F.when(language == lang, name).otherwise(names)
-        kinds = F.when(language == lang, kind).otherwise(kinds)
-    is_class = F.regexp_extract(line, _UNICODE + _PYTHON, 2) == "class"
-    kinds = F.when(
-        language == "python", F.when(is_class, "class").otherwise("function")
-    ).otherwise(kinds)
-    return names, kinds
+def _by_language(language: Column, values: dict[str, object]) -> Column:
+    entries = [F.lit(v) for pair in values.items() for v in pair]
+    return F.try_element_at(F.create_map(*entries), language)
+
+
+def _named(language: Column, line: Column) -> Column:
+    """``struct<name, kind>`` of the first pattern that matches the line."""
+    found = []
+    for place in range(2):
+        tried = {name: p[place] for name, p in GRAMMARS.items() if len(p) > place}
+        pattern = _by_language(language, {name: _UNICODE + p for name, (p, _, _) in tried.items()})
+        for number, kind in enumerate(["function", "class"], 1):
+            group = _by_language(language, {name: p[number] for name, p in tried.items()})
+            name = F.call_function("regexp_extract", line, pattern, group)
+            found.append(F.struct(F.when(group > 0, name).alias("name"), F.lit(kind).alias("kind")))
+    return F.filter(F.array(*found), lambda f: f["name"] != "")[0]
 
 
 def _indented_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
@@ -210,9 +208,8 @@ def parse(files: DataFrame, keys: list[str], content: str, with_body: bool = Fal
         ),
     )
     rows = ended.select(*keys, "language", F.inline(definitions))
-    name, kind = _name_and_kind(language, F.col("line"))
-    named = rows.select(
-        *keys, "language", name.alias("name"), kind.alias("kind"), "start_line", "end_line",
+    named = rows.withColumn("def", _named(language, F.col("line"))).select(
+        *keys, "language", "def.name", "def.kind", "start_line", "end_line",
         stripped(F.col("line")).alias("signature"),
         *(["body_hash", "body_length"] if with_body else []),
     )

@@ -84,13 +84,13 @@ def release_list(h):
 
 @over("commits", "function_changes", sql=f"""
     SELECT {_RELEASE_COUNTS} FROM h_function_changes c JOIN h_commits m ON m.hash = c.commit_hash,
-        (SELECT * FROM h_commits WHERE hash = md5('0')) a, (SELECT * FROM h_commits WHERE hash = md5('1500')) b
+        (SELECT * FROM h_commits WHERE hash = md5('0')) a, (SELECT * FROM h_commits WHERE hash = md5('1400')) b
     WHERE (m."timestamp", m.hash) > (least(a."timestamp", b."timestamp"),
                                      CASE WHEN a."timestamp" < b."timestamp" THEN a.hash ELSE b.hash END)
       AND (m."timestamp", m.hash) <= (greatest(a."timestamp", b."timestamp"),
                                       CASE WHEN a."timestamp" < b."timestamp" THEN b.hash ELSE a.hash END)""")
 def release_summary(h):
-    ends = h.commits.filter(F.col("hash").isin(F.md5(F.lit("0")), F.md5(F.lit("1500")))).orderBy("timestamp").collect()
+    ends = h.commits.filter(F.col("hash").isin(F.md5(F.lit("0")), F.md5(F.lit("1400")))).orderBy("timestamp").collect()
     return releases.release_summary(h, ends[1]["hash"], ends[0]["hash"])
 
 
