@@ -66,7 +66,10 @@ def hotspots(
     until: int | None = None,
 ) -> DataFrame:
     """Most-changed functions. ``renamed`` rows count in ``change_count`` only."""
-    profile = change_profile(_filtered(h, author, file_filter, since, until))
+    return hotspot_rows(change_profile(_filtered(h, author, file_filter, since, until)), limit)
+
+
+def hotspot_rows(profile: DataFrame, limit: int | None) -> DataFrame:
     rows = profile.select(
         *FUNCTION, "change_count", "author_count", "added", "modified", "deleted",
         clock.known(F.col("last_ts")).alias("last_changed"),
@@ -78,7 +81,10 @@ def fragile_functions(
     h: History, limit: int | None = 15, since: int | None = None, until: int | None = None
 ) -> DataFrame:
     """At least five changes, three of them modifications."""
-    profile = change_profile(_filtered(h, since=since, until=until))
+    return fragile_rows(change_profile(_filtered(h, since=since, until=until)), limit)
+
+
+def fragile_rows(profile: DataFrame, limit: int | None) -> DataFrame:
     rows = profile.filter((F.col("change_count") >= 5) & (F.col("modified") >= 3)).select(
         *FUNCTION, "change_count", "author_count",
         F.col("modified").alias("modify_count"),

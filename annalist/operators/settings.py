@@ -21,6 +21,7 @@ try:
     import yaml
 except ImportError:  # YAML files are then left out
     yaml = None
+_YAML = getattr(yaml, "CSafeLoader", None) or getattr(yaml, "SafeLoader", None)
 
 _AT = ["commit_hash", "file_path"]
 _PAIRS = T.ArrayType(T.StructType().add("key", T.StringType()).add("value", T.StringType()))
@@ -71,7 +72,7 @@ def _load(text: str, file_path: str) -> object:
         return json.loads(text)
     if file_path.endswith(".toml"):
         return tomllib.loads(text)
-    return yaml.safe_load(text) if yaml else None
+    return yaml.load(text, Loader=_YAML) if yaml else None
 
 
 def _leaves(tree: dict) -> dict[str, str]:

@@ -12,12 +12,13 @@ from annalist.functions.numbers import round_exact, truncate
 from annalist.operators.activity import (
     FUNCTION,
     change_profile,
-    fragile_functions,
-    hotspots,
+    fragile_rows,
+    hotspot_rows,
 )
 from annalist.operators.ownership import bus_factor
 from annalist.plans.shapes import top
 from annalist.schema import History
+from annalist.session import cut
 
 # Weight of each part of the score, and the age that counts as settled.
 WEIGHTS = {"rate": 0.5, "recency": 0.3, "spread": 0.2}
@@ -33,7 +34,11 @@ def scores(h: History, as_of: int, file_filter: str | None = None) -> DataFrame:
     if file_filter is not None:
         functions = functions.filter(text.contains(F.col("file_path"), file_filter))
         changes = changes.filter(text.contains(F.col("file_path"), file_filter))
-    profile = change_profile(changes).select(*FUNCTION, "change_count", "author_count", "last_ts")
+    return score_rows(functions, change_profile(changes), as_of)
+
+
+def score_rows(functions: DataFrame, profile: DataFrame, as_of: int) -> DataFrame:
+    profile = profile.select(*FUNCTION, "change_count", "author_count", "last_ts")
     largest = profile.agg(
         F.max("change_count").alias("max_changes"), F.max("author_count").alias("max_authors")
     )
@@ -107,7 +112,9 @@ def risks(h: History, as_of: int, limit: int | None = 10) -> DataFrame:
     changes = F.col("change_count")
     name = F.col("function_name")
 
-    fragile = fragile_functions(h, limit=50)
+    # one pass over the changes; what it leaves is one row per function
+    profile = cut(change_profile(h.function_changes))
+    fragile = fragile_rows(profile, limit=50)
     most = F.broadcast(fragile.agg(F.max("change_count").alias("most")))  # one row
     fragile_risks = fragile.join(most).select(
         F.concat(F.lit("Fragile function: "), name).alias("description"),
@@ -117,7 +124,7 @@ def risks(h: History, as_of: int, limit: int | None = 10) -> DataFrame:
     )
 
     # the listing runs from stable to volatile, so its first volatile rows are the mildest
-    shaky = scores(h, as_of).filter(F.col("rating").isin("volatile", "critical"))
+    shaky = score_rows(h.functions, profile, as_of).filter(F.col("rating").isin("volatile", "critical"))
     mildest = top(shaky, 20, F.desc("stability_score"), "file_path", "function_name")
     volatile_risks = mildest.select(
         F.concat(F.lit("Volatile function: "), name).alias("description"),
@@ -138,7 +145,7 @@ def risks(h: History, as_of: int, limit: int | None = 10) -> DataFrame:
     )
 
     people = F.col("author_count")
-    convergence_risks = hotspots(h, limit=50).filter(people >= 3).select(
+    convergence_risks = hotspot_rows(profile, limit=50).filter(people >= 3).select(
         F.concat(
             F.lit("Convergence point: "), name, F.lit(" ("), people.cast("string"),
             F.lit(" authors, "), changes.cast("string"), F.lit(" changes)"),

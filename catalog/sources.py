@@ -107,8 +107,19 @@ BLOCKS: dict[str, tuple[str, list[str], list[tuple[str, str, int, int, str]]]] =
 LANGUAGES = list(BLOCKS)
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+SPREAD_BYTES = 1 << 19
+SPLIT_BYTES = 128 << 20
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A sample table. One too small to give every core a split is a single row group that
+    one task would read and work on, so its rows are spread; larger tables are left alone."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if SPREAD_BYTES < size < SPLIT_BYTES * cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def _filled(template: str, i: Column) -> Column:
@@ -139,9 +150,8 @@ def head_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(
         F.lower("p_type"), F.lit("/part_"), key.cast("string"), F.lit("."), suffix
     )
-    return _read(spark, sf_dir, "part").select(
-        "p_partkey", "p_size", path.alias("file_path"), content.alias("content")
-    )
+    parts = read(spark, sf_dir, "part").repartition(_width(spark), "p_partkey")
+    return parts.select("p_partkey", "p_size", path.alias("file_path"), content.alias("content"))
 
 
 # ---- two sides of a source file per order and part -----------------------------
@@ -153,18 +163,21 @@ def head_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (order, part): what happened (ln), a quantity (q), and n blocks."""
-    items = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
         F.min("l_linenumber").alias("ln"), F.sum("l_quantity").cast("int").alias("q")
     )
-    parts = _read(spark, sf_dir, "part").select(
+    parts = read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), "p_type",
         (F.col("p_size") % 3 + 2).cast("int").alias("n"),
     )
-    # the texts built from these small rows are what costs, so the rows are spread by count
-    width = max(
+    return items.join(parts, "l_partkey").repartition(_width(spark), "l_orderkey", "l_partkey")
+
+
+def _width(spark: SparkSession) -> int:
+    """Partitions for small rows that large texts are built from: by count, not by bytes."""
+    return max(
         4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    return items.join(parts, "l_partkey").repartition(width, "l_orderkey", "l_partkey")
 
 
 def _is_python() -> Column:
@@ -213,24 +226,26 @@ def after_content() -> Column:
 def config_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event writes a new version of its user's file, as JSON, YAML or TOML."""
     user = F.col("user_id")
-    number = F.get_json_object("props", "$.k")
-    text = (
-        F.when(
-            user % 3 == 0,
-            F.concat(
-                F.lit('{"user": {"last": '), F.col("props"),
-                F.lit('}, "tags": [1, "a"], "flag": true, "none": null}'),
-            ),
+
+    def text(props: Column) -> Column:
+        number = F.get_json_object(props, "$.k")
+        json = F.concat(
+            F.lit('{"user": {"last": '), props,
+            F.lit('}, "tags": [1, "a"], "flag": true, "none": null}'),
         )
-        .when(user % 3 == 1, F.concat(F.lit("user:\n  last:\n    k: "), number, F.lit("\nflag: true\n")))
-        .otherwise(F.concat(F.lit("flag = true\n[user.last]\nk = "), number, F.lit("\n")))
-    )
+        yaml = F.concat(F.lit("user:\n  last:\n    k: "), number, F.lit("\nflag: true\n"))
+        toml = F.concat(F.lit("flag = true\n[user.last]\nk = "), number, F.lit("\n"))
+        return F.when(user % 3 == 0, json).when(user % 3 == 1, yaml).otherwise(toml)
+
     suffix = F.when(user % 3 == 0, ".json").when(user % 3 == 1, ".yaml").otherwise(".toml")
     by_time = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return (
-        _read(spark, sf_dir, "events")
-        .withColumn("text", text)
-        .withColumn("before", F.lag("text").over(by_time))
+        read(spark, sf_dir, "events")
+        .withColumn("last", F.lag("props").over(by_time))
+        .select("event_id", "user_id", "props", "last")
+        .repartition(_width(spark), "event_id")
+        .withColumn("text", text(F.col("props")))
+        .withColumn("before", text(F.col("last")))
         .select(
             F.md5(F.col("event_id").cast("string")).alias("commit_hash"),
             F.concat(F.lit("conf/user_"), user.cast("string"), suffix).alias("file_path"),

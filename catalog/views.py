@@ -31,7 +31,7 @@ def view(function: View) -> View:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return sources.read(spark, sf_dir, table)
 
 
 def history(spark: SparkSession, sf_dir: str, *tables: str) -> History:
