@@ -122,13 +122,10 @@ def renames_in_file(h):
 
 
 @over("file_versions", sql=f"""
-    SELECT commit_hash AS commit, {_PATH} AS file, ln FROM h_versions
-    WHERE starts_with(commit_hash, '28') AND ln <> 2""")
+    SELECT commit_hash AS commit, {_PATH} AS file, ln FROM h_versions WHERE ln <> 2""")
 def files_at_commit(h):
-    """Every file of the commits with one prefix; the content is checked by its edit."""
-    rows = h.file_versions.filter(
-        F.col("commit_hash").startswith("28") & (F.col("after_content") != "")
-    )
+    """Every file of every commit; the content is checked by its edit."""
+    rows = h.file_versions.filter(F.col("after_content") != "")
     before, after = F.col("before_content"), F.col("after_content")
     edit = (
         F.when(before == "", 1)

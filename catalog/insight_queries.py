@@ -370,6 +370,46 @@ def executive_facts(h):
     return reports.executive_facts(h, AS_OF)
 
 
+_ONE_ROW = ["stats", "project_arc", "timeline_facts", "stability_facts", "ownership_facts",
+            "contributor_facts", "executive_facts"]
+_SIZES = {
+    "timeline": "(SELECT count(*) FROM h_timeline)",
+    "hotspots": "least(20, (SELECT count(*) FROM h_profile))",
+    "stability": f"(SELECT count(*) FROM {_SAMPLE})",
+    "stability_dist": "4",
+    "authors": "least(100, (SELECT count(DISTINCT author) FROM h_function_changes WHERE author <> ''))",
+    "languages": "(SELECT count(DISTINCT language) FROM h_functions)",
+    "commits_by_month": "(SELECT count(*) FROM h_commits)",
+    "fragile_zones": "least(15, (SELECT count(*) FROM h_profile WHERE change_count >= 5 AND modified >= 3))",
+    "stale_zones": "least(15, (SELECT count(DISTINCT (name, file_path)) FROM h_functions))",
+    "coauthorship_patterns": "least(20, (SELECT count(*) FROM h_profile WHERE author_count >= 2))",
+    "feature_expansion": "(SELECT count(DISTINCT month) FROM h_month_changes WHERE change_type = 'added')",
+    "phases": "(SELECT count(*) FROM h_phases)",
+    "period_themes": "(SELECT count(*) FROM h_phases)",
+    "chapters": "(SELECT count(*) FROM h_phases)",
+    "activity_bursts": "(SELECT count(*) FROM h_phases WHERE total_changes / months > 2 * (SELECT sum(changes) / count(*) FROM h_timeline))",
+    "convergence_points": "least(5, (SELECT count(*) FROM h_profile WHERE author_count >= 2))",
+    "hotspot_notes": "least(10, (SELECT count(*) FROM h_profile))",
+    "archaeology": "least(10, (SELECT count(*) FROM h_profile WHERE change_count >= 5 AND modified >= 3))"
+                   " + least(10, (SELECT count(DISTINCT (name, file_path)) FROM h_functions))",
+    **{name: "1" for name in _ONE_ROW},
+}
+
+
+@over("commits", "functions", "function_changes", "blame_entries", sql=" UNION ALL ".join(
+    f"SELECT '{name}' AS section, {size} AS size" for name, size in _SIZES.items()))
+def report_sections(h):
+    """Rows in every section of the report data set."""
+    parts = [
+        rows.agg(F.count("*").alias("size")).select(F.lit(name).alias("section"), "size")
+        for name, rows in reports.report_data(h, AS_OF).items()
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
 # ---- summary, why and export, flattened to one listing each ------------------------
 
 
