@@ -10,6 +10,7 @@ from annalist.functions.numbers import round_exact
 from annalist.operators import activity, lineage, lookup, phases, stability
 from annalist.plans.shapes import top
 from annalist.schema import History
+from annalist.session import cut
 
 
 def recent_phase(timeline: DataFrame) -> DataFrame:
@@ -168,10 +169,18 @@ def archaeology(h: History, limit: int = 10) -> DataFrame:
     return fragile.unionByName(stale)
 
 
-def executive_facts(h: History, as_of: int, months: int = 120) -> DataFrame:
-    """One row of the counts an overview starts with."""
-    spells = phases.project_phases(activity.timeline(h, as_of, months))
-    ratings = stability.distribution(stability.report_sample(h, as_of), changed_only=True)
+def executive_facts(
+    h: History,
+    as_of: int,
+    months: int = 120,
+    spells: DataFrame | None = None,
+    ratings: DataFrame | None = None,
+) -> DataFrame:
+    """One row of the counts an overview starts with; phases and ratings may be given."""
+    if spells is None:
+        spells = phases.project_phases(activity.timeline(h, as_of, months))
+    if ratings is None:
+        ratings = stability.distribution(stability.report_sample(h, as_of), changed_only=True)
     flagged = F.col("rating").isin("volatile", "critical")
     counts = [
         activity.stats(h).select("functions", "commits", "changes"),
@@ -189,11 +198,14 @@ def executive_facts(h: History, as_of: int, months: int = 120) -> DataFrame:
 
 
 def report_data(h: History, as_of: int) -> dict[str, DataFrame]:
-    """Everything a report page shows, a DataFrame per section."""
-    timeline = activity.timeline(h, as_of, months=120)
-    spells = phases.project_phases(timeline)
-    themes = phases.period_themes(h, spells)
-    sample = stability.report_sample(h, as_of)
+    """Everything a report page shows, a DataFrame per section.
+
+    What several sections read, by month, phase or sampled function, is computed once.
+    """
+    timeline = cut(activity.timeline(h, as_of, months=120))
+    spells = cut(phases.project_phases(timeline))
+    themes = cut(phases.period_themes(h, spells))
+    sample = cut(stability.report_sample(h, as_of))
     ratings = stability.distribution(sample, changed_only=True)
     return {
         "stats": activity.stats(h),
@@ -220,5 +232,5 @@ def report_data(h: History, as_of: int) -> dict[str, DataFrame]:
         "convergence_points": convergence_points(h),
         "hotspot_notes": hotspot_notes(h),
         "archaeology": archaeology(h),
-        "executive_facts": executive_facts(h, as_of),
+        "executive_facts": executive_facts(h, as_of, spells=spells, ratings=ratings),
     }
