@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions import labels, text
 from annalist.functions.numbers import round_exact
-from annalist.operators import activity, lineage, lookup, phases, stability
+from annalist.operators import activity, lineage, phases, stability
 from annalist.plans.shapes import top
 from annalist.schema import History
 from annalist.session import cut

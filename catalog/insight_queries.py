@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annalist.operators import activity, lineage, ownership, phases, releases, reports, stability
 from annalist.sources import tables
 from catalog.registry import over
-from catalog.views import AS_OF, RECENT
+from catalog.views import AS_OF
 
 LAST_TAG = "SELECT hash FROM h_tags ORDER BY \"timestamp\" DESC, name DESC LIMIT 1"
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from annalist import History
 from annalist.functions import paths
-from annalist.operators import lineage, ownership, search  # noqa: F401
+from annalist.operators import ownership, search
 from catalog import sources
 
 AS_OF = 996710400  # 2001-08-02, the day after the last order

@@ -2,7 +2,6 @@ import random
 
 from conftest import dicts
 
-from annalist import History
 from annalist.plans.shapes import ordered_chunks, running_count, with_previous
 from annalist.schema import SCHEMAS
 from annalist.sources import tables
