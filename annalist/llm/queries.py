@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import mixture, quality, transducer
+from annalist.llm import mixture, partenum, quality, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -30,6 +30,11 @@ def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("d2")
 
 
+@query(partenum.check_sql())
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.classes(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digests(table(spark, sf_dir, "documents"))
