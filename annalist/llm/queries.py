@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import mixture, partenum, quality, transducer
+from annalist.llm import logtree, mixture, partenum, quality, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -43,3 +43,8 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(mixture.check_sql())
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
+
+
+@query(logtree.check_sql())
+def op9_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logtree.report(table(spark, sf_dir, "documents"))
