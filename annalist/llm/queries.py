@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import logtree, mixture, partenum, quality, transducer
+from annalist.llm import logtree, mixture, partenum, quality, secretscan, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -48,3 +48,8 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(logtree.check_sql())
 def op9_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logtree.report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digests(table(spark, sf_dir, "documents"))
