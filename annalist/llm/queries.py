@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import logtree, mixture, partenum, quality, secretscan, transducer
+from annalist.llm import crossparse, logtree, mixture, partenum, quality, secretscan, templates, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -30,6 +30,11 @@ def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).drop("d2")
 
 
+@query()
+def op2_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 @query(partenum.check_sql())
 def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.classes(table(spark, sf_dir, "documents"))
@@ -40,6 +45,11 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digests(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.languages(table(spark, sf_dir, "documents"))
+
+
 @query(mixture.check_sql())
 def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
