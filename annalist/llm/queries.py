@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import crossparse, logtree, mixture, partenum, quality, secretscan, templates, transducer
+from annalist.llm import capfilters, crossparse, logtree, mixture, partenum, quality, secretscan, templates, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -35,6 +35,11 @@ def op2_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(table(spark, sf_dir, "pages"))
 
 
+@query(capfilters.check_sql())
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.linked(table(spark, sf_dir, "embeddings"))
+
+
 @query(partenum.check_sql())
 def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.classes(table(spark, sf_dir, "documents"))
