@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annalist.llm import capfilters, crossparse, logtree, mixture, partenum, quality, secretscan, templates, transducer
+from annalist.llm import capfilters, crossparse, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -35,6 +36,14 @@ def op2_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.main_text(table(spark, sf_dir, "pages"))
 
 
+@query()
+def op3_packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "shard", "doc_ids", "starts", "cu_seqlens", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
+    )
+
+
 @query(capfilters.check_sql())
 def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.linked(table(spark, sf_dir, "embeddings"))
