@@ -29,6 +29,14 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, SPACES), ""), F.array().cast("array<string>"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """*name*, lengthened until no column of *df* is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """*df* written to the shared folder and read again, so that it is computed once and its
     size is known to the planner."""

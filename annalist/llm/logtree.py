@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import mix, staged, text_chunks, word_hashes
+from annalist.llm.common import mix, staged, text_chunks, unused, word_hashes
 
 LEADING = 2
 MIN_TOKENS = 5
@@ -102,23 +102,22 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """*docs* with their texts freed of recurring lines; rows left without a word are dropped if lines
     were taken from them. ``n_chars`` follows the text where there is such a column."""
-    drop = repeated_lines(docs, min_docs).select(F.col("doc_id").alias("drop_id"), F.col("drop").alias("drop_lines"))
-    joined = docs.join(drop, docs["doc_id"] == drop["drop_id"], "left")
+    key, drop = unused(docs, "drop_id"), unused(docs, "drop_lines")
+    dropped = repeated_lines(docs, min_docs).select(F.col("doc_id").alias(key), F.col("drop").alias(drop))
+    joined = docs.join(dropped, docs["doc_id"] == dropped[key], "left")
+
     def rest(lines):
-        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop_lines"))
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
         return F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
 
     # One element, so that the lines are cut once and named inside.
-    kept = F.get(F.transform(F.array(F.split(docs["text"], "\n")), rest), F.lit(0))
-    text = F.when(F.col("drop_lines").isNull(), docs["text"]).otherwise(kept)
-    columns = [
-        text.alias("text") if c == "text"
-        else F.when(F.col("drop_lines").isNull(), docs[c]).otherwise(F.char_length(kept).cast(docs.schema[c].dataType)).alias(c)
-        if c == "n_chars" else docs[c]
-        for c in docs.columns
-    ]
-    some = F.col("drop_lines").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return joined.select(*columns, "drop_lines").filter(some).select(*docs.columns)
+    kept = F.get(F.transform(F.array(F.split("text", "\n")), rest), F.lit(0))
+    whole = F.col(drop).isNull()
+    cut = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(kept))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.char_length("text").cast(kind)))
+    return cut.filter(whole | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
 
 
 def report(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:

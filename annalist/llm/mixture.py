@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.llm.common import staged, words
+from annalist.llm.common import staged, unused, words
 from annalist.plans.shapes import ordered_chunks, running_count
 
 WEIGHTS = (5, 2, 1)
@@ -121,14 +121,14 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     rows goes by its largest share. Rows without doc_id or words are not taken.
     """
     share = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(0)
-    times = (
+    key, times, copy = (unused(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
+    wanted = (
         mixture(docs, **settings).filter(F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max(share).cast("int").alias("mixed_times"))
-        .filter("mixed_times > 0")
+        .groupBy(F.col("doc_id").alias(key)).agg(F.max(share).cast("int").alias(times))
+        .filter(F.col(times) > 0)
     )
-    joined = docs.join(times, docs["doc_id"] == times["mixed_id"])
-    copies = F.explode(F.sequence(F.lit(1), F.col("mixed_times")))
-    return joined.withColumn("mixed_copy", copies).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(wanted, docs["doc_id"] == wanted[key])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def check_sql(table: str = "documents", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> str:

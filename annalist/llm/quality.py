@@ -20,7 +20,7 @@ from annalist.llm.common import SPACES, staged
 
 SYMBOLS = "#*$%&|<>"
 #: The transformed statistics and the smallest standard deviation that a group is given for them.
-FLOORS = {"x1": 24, "x2": 120, "x3": 80, "x4": 60, "x5": 40}
+FLOORS = {"x1": 24, "x2": 120, "x3": 80, "x4": 60, "x5": 64}
 NAMES = list(FLOORS)
 SHARE = (3, 4)  # of a group that an estimate rests on
 STEPS = 3

@@ -264,9 +264,9 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator
         yield batch.slice(first, last - first)
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: both directions run, digests of
-    their real outputs."""
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, and ids if asked for: both directions
+    run, digests of their real outputs."""
     path = path or vocabulary_path()
     done = decode(encode(docs, path), path)
 
@@ -276,10 +276,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
             names = [hashlib.sha256(" ".join(map(str, values[a:b].tolist())).encode()).hexdigest() for a, b in zip(offsets, offsets[1:])]
             text = [hashlib.sha256(t.encode()).hexdigest() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.diff(offsets).astype(np.int64)), pa.array(names, pa.string()), pa.array(text, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [batch["doc_id"], pa.array(np.diff(offsets).astype(np.int64)), pa.array(names, pa.string()), pa.array(text, pa.string())]
+            if with_ids:
+                columns.append(lists)
+            yield pa.RecordBatch.from_arrays(columns, fields)
 
     key = done.schema["doc_id"].dataType.simpleString()
-    return done.mapInArrow(run, f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    return done.mapInArrow(run, schema)

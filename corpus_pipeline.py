@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annalist.llm import mixture
+from annalist.llm import logtree, mixture, partenum, quality, transducer
 from annalist.llm.common import staged
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are no outliers of their language and source."""
+    return quality.good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines whose template recurs; the first document keeps its line."""
+    return logtree.without_repeats(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of every group of near copies."""
+    return partenum.first_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixture.mixed(docs)
 
 
-STAGES = [("source mixture", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, and digests of them and of the text they decode to."""
+    return transducer.digests(docs, with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("source mixture", mix_sources),
+    ("BPE encoding", encode),
+]
+#: Token ids have no SQL form; tests compare the stages with a plain version.
 ORACLE_SQL = None
 
 
