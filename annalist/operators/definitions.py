@@ -53,8 +53,7 @@ GRAMMARS: dict[str, list[tuple[str, int, int]]] = {
     "c": _C,
     "cpp": _C,
 }
-# Fixed value: how far a closing brace is looked for, in lines.
-BRACE_SCAN = 1000
+BRACE_STEP = 1000  # lines that are looked at first for a closing brace; twice as many each time after
 
 _UNICODE = "(?U)"
 _STRINGS = [
@@ -133,10 +132,15 @@ def _braced_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
     depth = np.cumsum(levels)
     ends = []
     for start in starts.tolist():
-        stop = min(start + BRACE_SCAN, len(levels))
-        inside = depth[start:stop] - (depth[start] - levels[start])
-        opened = np.maximum.accumulate(inside) > 0
-        closed = np.flatnonzero(opened & (inside <= 0))
+        step = BRACE_STEP
+        while True:
+            stop = min(start + step, len(levels))
+            inside = depth[start:stop] - (depth[start] - levels[start])
+            opened = np.maximum.accumulate(inside) > 0
+            closed = np.flatnonzero(opened & (inside <= 0))
+            if len(closed) or stop == len(levels):
+                break
+            step *= 2
         ends.append(int(start + closed[0] + 1) if len(closed) else stop)
     return ends
 

@@ -73,7 +73,9 @@ def releases(h: History) -> DataFrame:
         .select("name", F.explode(F.sequence("low", "high")).alias("segment"))
     )
     of_commit = placed.select(F.col("hash").alias("commit_hash"), "segment")
-    changes = h.function_changes.join(of_commit, "commit_hash").join(covered, "segment")
+    # commits meet the segments first: a release with most of the changes is no key of theirs
+    of_release = of_commit.join(covered, "segment").select("commit_hash", "name")
+    changes = h.function_changes.join(of_release, "commit_hash")
     counted = _collapse(changes, "name")
     return (
         h.tags.join(counted, "name", "left")

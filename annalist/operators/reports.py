@@ -70,9 +70,9 @@ def why(
 # ---- facts ---------------------------------------------------------------------
 
 
-def ownership_facts(h: History, authors_limit: int = 100) -> DataFrame:
-    """One row: contributors, the leader and the leader's share."""
-    listed = activity.authors(h, limit=authors_limit)
+def ownership_facts(h: History) -> DataFrame:
+    """One row over all named authors: contributors, the leader and the leader's share."""
+    listed = activity.authors(h, limit=None)
     row = listed.agg(
         F.count("*").alias("contributors"),
         F.sum("change_count").alias("total_changes"),
@@ -102,9 +102,9 @@ def convergence_points(h: History) -> DataFrame:
     )
 
 
-def contributor_facts(h: History, authors_limit: int = 100) -> DataFrame:
+def contributor_facts(h: History) -> DataFrame:
     """One row of sentences about the contributors."""
-    facts = ownership_facts(h, authors_limit)
+    facts = ownership_facts(h)
     return facts.select(
         F.format_string(
             "%d contributors with %d total changes.", "contributors", "total_changes"
@@ -180,16 +180,16 @@ def executive_facts(
     if spells is None:
         spells = phases.project_phases(activity.timeline(h, as_of, months))
     if ratings is None:
-        ratings = stability.distribution(stability.report_sample(h, as_of), changed_only=True)
+        ratings = stability.distribution(stability.scores(h, as_of), changed_only=True)
     flagged = F.col("rating").isin("volatile", "critical")
     counts = [
         activity.stats(h).select("functions", "commits", "changes"),
         spells.agg(F.count("*").alias("phases")),
-        activity.fragile_functions(h).agg(F.count("*").alias("fragile")),
+        activity.fragile_functions(h, limit=None).agg(F.count("*").alias("fragile")),
         ratings.agg(
             F.coalesce(F.sum(F.when(flagged, F.col("functions"))), F.lit(0)).alias("flagged")
         ),
-        activity.authors(h, limit=100).agg(F.count("*").alias("contributors")),
+        activity.authors(h, limit=None).agg(F.count("*").alias("contributors")),
     ]
     first, *rest = counts
     for one_row in rest:
@@ -205,8 +205,7 @@ def report_data(h: History, as_of: int) -> dict[str, DataFrame]:
     timeline = cut(activity.timeline(h, as_of, months=120))
     spells = cut(phases.project_phases(timeline))
     themes = cut(phases.period_themes(h, spells))
-    sample = cut(stability.report_sample(h, as_of))
-    ratings = stability.distribution(sample, changed_only=True)
+    sample, ratings = stability.listing_and_ratings(h, as_of)
     return {
         "stats": activity.stats(h),
         "timeline": timeline,

@@ -19,7 +19,7 @@ from annalist.schema import History
 
 try:
     import yaml
-except ImportError:  # YAML files are then left out
+except ImportError:  # reading a YAML file then fails
     yaml = None
 _YAML = getattr(yaml, "CSafeLoader", None) or getattr(yaml, "SafeLoader", None)
 
@@ -72,7 +72,9 @@ def _load(text: str, file_path: str) -> object:
         return json.loads(text)
     if file_path.endswith(".toml"):
         return tomllib.loads(text)
-    return yaml.load(text, Loader=_YAML) if yaml else None
+    if yaml is None:
+        raise RuntimeError("YAML files need PyYAML on every executor")
+    return yaml.load(text, Loader=_YAML)
 
 
 def _leaves(tree: dict) -> dict[str, str]:

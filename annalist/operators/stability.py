@@ -79,6 +79,12 @@ def stability(
     return top(scores(h, as_of, file_filter), limit, order, "file_path", "function_name")
 
 
+def listing_and_ratings(h: History, as_of: int) -> tuple[DataFrame, DataFrame]:
+    """The report's listing, and the ratings of all changed functions behind it."""
+    scored = cut(scores(h, as_of))
+    return _sample(scored), distribution(scored, changed_only=True)
+
+
 def distribution(scored: DataFrame, changed_only: bool = False) -> DataFrame:
     """Functions per rating, zero where a rating does not occur."""
     rows = scored.filter("change_count > 0") if changed_only else scored
@@ -94,8 +100,12 @@ def distribution(scored: DataFrame, changed_only: bool = False) -> DataFrame:
 
 def report_sample(h: History, as_of: int) -> DataFrame:
     """All volatile and critical functions, the 200 steadiest changed moderate ones and
-    the 100 steadiest changed stable ones, least stable first."""
-    scored = scores(h, as_of)
+    the 100 steadiest changed stable ones, least stable first. A listing: shares and
+    counts come from all scores."""
+    return _sample(scores(h, as_of))
+
+
+def _sample(scored: DataFrame) -> DataFrame:
     rating = F.col("rating")
     changed = F.col("change_count") > 0
     best = [F.desc("stability_score"), F.col("file_path"), F.col("function_name")]
@@ -108,13 +118,13 @@ def report_sample(h: History, as_of: int) -> DataFrame:
 
 
 def risks(h: History, as_of: int, limit: int | None = 10) -> DataFrame:
-    """Four kinds of risk on one scale of 0 to 100, worst first."""
+    """Four kinds of risk on one scale of 0 to 100, worst first; only *limit* cuts the listing."""
     changes = F.col("change_count")
     name = F.col("function_name")
 
     # one pass over the changes; what it leaves is one row per function
     profile = cut(change_profile(h.function_changes))
-    fragile = fragile_rows(profile, limit=50)
+    fragile = fragile_rows(profile, limit=None)
     most = F.broadcast(fragile.agg(F.max("change_count").alias("most")))  # one row
     fragile_risks = fragile.join(most).select(
         F.concat(F.lit("Fragile function: "), name).alias("description"),
@@ -123,10 +133,8 @@ def risks(h: History, as_of: int, limit: int | None = 10) -> DataFrame:
         F.lit("fragile").alias("category"),
     )
 
-    # the listing runs from stable to volatile, so its first volatile rows are the mildest
     shaky = score_rows(h.functions, profile, as_of).filter(F.col("rating").isin("volatile", "critical"))
-    mildest = top(shaky, 20, F.desc("stability_score"), "file_path", "function_name")
-    volatile_risks = mildest.select(
+    volatile_risks = shaky.select(
         F.concat(F.lit("Volatile function: "), name).alias("description"),
         F.least(F.lit(100), truncate((1 - F.col("stability_score")) * 90 + 10)).alias("severity"),
         F.col("file_path").alias("area"),
@@ -145,12 +153,12 @@ def risks(h: History, as_of: int, limit: int | None = 10) -> DataFrame:
     )
 
     people = F.col("author_count")
-    convergence_risks = hotspot_rows(profile, limit=50).filter(people >= 3).select(
+    convergence_risks = hotspot_rows(profile, limit=None).filter(people >= 3).select(
         F.concat(
             F.lit("Convergence point: "), name, F.lit(" ("), people.cast("string"),
             F.lit(" authors, "), changes.cast("string"), F.lit(" changes)"),
         ).alias("description"),
-        F.least(F.lit(75), (people * 15 + changes * 2).cast("int")).alias("severity"),
+        F.least(F.lit(75), people * 15 + changes * 2).cast("int").alias("severity"),
         F.col("file_path").alias("area"),
         F.lit("convergence").alias("category"),
     )

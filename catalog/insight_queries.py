@@ -138,24 +138,20 @@ def stability_report_sample(h):
     return stability.report_sample(h, AS_OF)
 
 
-@over("functions", "function_changes", sql=f"""
-    WITH d AS (SELECT rating, count(*) AS n FROM {_SAMPLE} WHERE change_count > 0 GROUP BY 1)
+@over("functions", "function_changes", sql="""
+    WITH d AS (SELECT rating, count(*) AS n FROM h_scores WHERE change_count > 0 GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS total,
            CAST(round_even(coalesce(sum(n) FILTER (rating = 'stable'), 0) / sum(n) * 100, 0) AS INTEGER) AS stable_pct,
            CAST(coalesce(sum(n) FILTER (rating = 'critical'), 0) AS BIGINT) AS critical,
            CAST(coalesce(sum(n) FILTER (rating = 'volatile'), 0) AS BIGINT) AS volatile FROM d""")
 def stability_facts(h):
-    sample = stability.report_sample(h, AS_OF)
-    return reports.stability_facts(stability.distribution(sample, changed_only=True))
+    return reports.stability_facts(stability.distribution(stability.scores(h, AS_OF), changed_only=True))
 
 
 _RISKS = f"""
     WITH fragile AS (
-        SELECT * FROM h_profile WHERE change_count >= 5 AND modified >= 3
-        ORDER BY change_count DESC, function_name, file_path LIMIT 50),
-    hot AS (SELECT * FROM h_profile ORDER BY change_count DESC, function_name, file_path LIMIT 50),
-    shaky AS (SELECT * FROM h_scores WHERE rating IN ('volatile', 'critical')
-              ORDER BY stability_score DESC, file_path, function_name LIMIT 20),
+        SELECT * FROM h_profile WHERE change_count >= 5 AND modified >= 3),
+    shaky AS (SELECT * FROM h_scores WHERE rating IN ('volatile', 'critical')),
     listed AS (
         SELECT 'Fragile function: ' || function_name AS description,
                least(100, CAST(floor(change_count / (SELECT max(change_count) FROM fragile) * 85 + 15) AS INTEGER)) AS severity,
@@ -170,7 +166,7 @@ _RISKS = f"""
         UNION ALL
         SELECT 'Convergence point: ' || function_name || ' (' || author_count || ' authors, ' || change_count || ' changes)',
                least(75, CAST(author_count * 15 + change_count * 2 AS INTEGER)), file_path, 'convergence', 3
-        FROM hot WHERE author_count >= 3)"""
+        FROM h_profile WHERE author_count >= 3)"""
 
 
 @over("functions", "function_changes", "blame_entries", sql=_RISKS + """
@@ -304,7 +300,7 @@ def recent_phase(h):
 
 _LEAD = """
     WITH a AS (SELECT author, count(*) AS n FROM h_function_changes WHERE author <> '' GROUP BY 1
-               ORDER BY n DESC, author LIMIT 100),
+               ORDER BY n DESC, author),
     f AS (SELECT count(*) AS contributors, CAST(sum(n) AS BIGINT) AS total_changes,
                  (SELECT author FROM a ORDER BY n DESC, author LIMIT 1) AS top_author, max(n) AS top_changes,
                  CAST(round_even(max(n) / sum(n) * 100, 0) AS INTEGER) AS top_pct FROM a)"""
@@ -360,12 +356,12 @@ def archaeology(h):
     return reports.archaeology(h)
 
 
-@over("commits", "functions", "function_changes", "blame_entries", sql=f"""
+@over("commits", "functions", "function_changes", "blame_entries", sql="""
     SELECT (SELECT count(*) FROM h_functions) AS functions, (SELECT count(*) FROM h_commits) AS commits,
            (SELECT count(*) FROM h_function_changes) AS changes, (SELECT count(*) FROM h_phases) AS phases,
-           least(15, (SELECT count(*) FROM h_profile WHERE change_count >= 5 AND modified >= 3)) AS fragile,
-           (SELECT count(*) FROM {_SAMPLE} WHERE change_count > 0 AND rating IN ('volatile', 'critical')) AS flagged,
-           least(100, (SELECT count(DISTINCT author) FROM h_function_changes WHERE author <> '')) AS contributors""")
+           (SELECT count(*) FROM h_profile WHERE change_count >= 5 AND modified >= 3) AS fragile,
+           (SELECT count(*) FROM h_scores WHERE change_count > 0 AND rating IN ('volatile', 'critical')) AS flagged,
+           (SELECT count(DISTINCT author) FROM h_function_changes WHERE author <> '') AS contributors""")
 def executive_facts(h):
     return reports.executive_facts(h, AS_OF)
 
@@ -480,9 +476,8 @@ def why_function(h):
     UNION ALL SELECT 'changes', function_name, file_path, lines_added FROM h_function_changes
     UNION ALL SELECT 'blame', function_name, file_path, line_count FROM h_blame_entries
     UNION ALL (SELECT 'authors', author, '', count(*) FROM h_function_changes WHERE author <> ''
-               GROUP BY author ORDER BY count(*) DESC, author LIMIT 20)
-    UNION ALL SELECT 'hotspots', function_name, file_path, change_count FROM
-              (FROM h_profile ORDER BY change_count DESC, function_name, file_path LIMIT 9999)""")
+               GROUP BY author)
+    UNION ALL SELECT 'hotspots', function_name, file_path, change_count FROM h_profile""")
 def export_sections(h):
     parts = tables.export_sections(h, AS_OF, ["functions", "changes", "blame", "authors", "hotspots"])
     shape = {

@@ -107,19 +107,12 @@ BLOCKS: dict[str, tuple[str, list[str], list[tuple[str, str, int, int, str]]]] =
 LANGUAGES = list(BLOCKS)
 
 
-SPREAD_BYTES = 1 << 19
-SPLIT_BYTES = 128 << 20
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A sample table. One too small to give every core a split is a single row group that
-    one task would read and work on, so its rows are spread; larger tables are left alone."""
+    """A sample table. The samples are files of one row group, so one task would read and work on each;
+    ``spark.annalist.spread`` asks for their rows in that many partitions, at any size."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if SPREAD_BYTES < size < SPLIT_BYTES * cores:
-        return rows.repartition(cores)
-    return rows
+    spread = spark.conf.get("spark.annalist.spread", None)
+    return rows.repartition(int(spread)) if spread else rows
 
 
 def _filled(template: str, i: Column) -> Column:

@@ -243,13 +243,15 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _parts(spark, sf_dir), key == F.col("p_partkey"), "left"
     )
     is_function = (key % 2 == 0) & F.col("fn").isNotNull()
-    return vectors.select(
+    named = vectors.select(
         F.when(is_function, "function").otherwise("commit").alias("type"),
         F.when(is_function, F.concat_ws("::", "fn", "fp")).otherwise(commit_id("vec_id")).alias("ref_id"),
-        F.lit("").alias("text"),
-        F.col("embedding").alias("vector"),
-        F.lit("sample-64").alias("model"),
-    ).dropDuplicates(["type", "ref_id"])
+        "vec_id", "embedding",
+    )
+    # names repeat among the parts; the vector with the smallest number stands for all
+    return named.groupBy("type", "ref_id").agg(F.min_by("embedding", "vec_id").alias("vector")).select(
+        "type", "ref_id", F.lit("").alias("text"), "vector", F.lit("sample-64").alias("model")
+    )
 
 
 @view
@@ -394,11 +396,11 @@ SQL: dict[str, str] = {
                change_type || ' +' || lines_added || '/-' || lines_removed || ' in ' || commit_hash[1:8]
         FROM h_function_changes""",
     "h_embeddings": """
-        SELECT DISTINCT ON (type, ref_id) * FROM (
-            SELECT CASE WHEN vec_id % 2 = 0 AND fn IS NOT NULL THEN 'function' ELSE 'commit' END AS type,
+        SELECT type, ref_id, arg_min(vector, vec_id) AS vector FROM (
+            SELECT vec_id, CASE WHEN vec_id % 2 = 0 AND fn IS NOT NULL THEN 'function' ELSE 'commit' END AS type,
                    CASE WHEN vec_id % 2 = 0 AND fn IS NOT NULL THEN fn || '::' || fp
                         ELSE md5(CAST(vec_id AS VARCHAR)) END AS ref_id, embedding AS vector
-            FROM embeddings LEFT JOIN h_part ON vec_id = p_partkey)""",
+            FROM embeddings LEFT JOIN h_part ON vec_id = p_partkey) GROUP BY type, ref_id""",
 }
 
 

@@ -26,7 +26,9 @@ def test_query(spark, db, name):
 
 
 def test_only_text_similarity_lacks_a_check():
-    assert sorted(set(entry.queries()) - set(entry.oracle_sql())) == ["extracted_changes", "extracted_renames"]
+    from catalog import registry
+
+    assert sorted(set(registry.QUERIES) - set(registry.CHECKS)) == ["extracted_changes", "extracted_renames"]
 
 
 def test_entry(spark):

@@ -69,9 +69,9 @@ def test_nothing_to_parse(spark):
     assert parsed(spark, "a.txt", "def f(): pass") == []
 
 
-def test_brace_scan_stops(spark):
+def test_long_blocks_are_followed_to_their_end(spark):
     body = "\n".join(["  x();"] * 1500)
-    assert parsed(spark, "a.js", f"function big() {{\n{body}\n}}\n") == [(1, 1000, "big", "function")]
+    assert parsed(spark, "a.js", f"function big() {{\n{body}\n}}\n") == [(1, 1502, "big", "function")]
 
 
 def test_long_string_literals_do_not_overflow(spark):
@@ -213,11 +213,10 @@ def test_matching_in_blocks_and_rounds(spark, monkeypatch):
     rows = loose_rows(random.Random(4), commits=3, per_side=14, files=FILES)
     df = spark.createDataFrame(rows, LOOSE)
     monkeypatch.setattr(renames, "BLOCK", 3)
-    monkeypatch.setattr(renames, "GREEDY_PAIRS", 4)
     assert matched(renames.match(df, False)) == plain_greedy(rows, False)
 
 
-def test_twins_of_a_large_commit(spark, monkeypatch):
+def test_twins_go_first(spark):
     body = "def f():\n    return compute(1, 2, 3)"
     def row(side, path, place, name="f"):
         text = body if name == "f" else "def g(a, b, c):\n    raise KeyError"
@@ -228,8 +227,7 @@ def test_twins_of_a_large_commit(spark, monkeypatch):
     rows += [row("deleted", "keep/a.py", 1, "g"), row("added", "keep/b.py", 1, "g"), row("added", "far/b.py", 1, "g")]
     df = spark.createDataFrame(rows, LOOSE)
     plain = matched(renames.match(df, False))
-    monkeypatch.setattr(renames, "TWIN_PAIRS", 0)
-    assert matched(renames.match(df, False)) == plain
+    assert plain == plain_greedy(rows, False)
     assert {r[3:6:2] for r in plain if r[2] == "f"} == {(f"old/m{i}.py", f"new/m{i}.py") for i in range(5)}
 
 
