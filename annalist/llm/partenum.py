@@ -116,6 +116,16 @@ def _sketch(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     return np.minimum(np.bincount(cells, minlength=count * SKETCH), 255).astype(np.uint8).reshape(count, SKETCH)
 
 
+def _fine(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Longer sketches, of a power of two of cells, a quarter to a half of the size of the set."""
+    bits = np.maximum(6, np.frexp(np.maximum(sizes, 1))[1] - 2)
+    ends = np.concatenate([[0], np.cumsum(1 << bits)])
+    cells = (mix(values ^ _SEEDS[2]) >> np.repeat(64 - bits, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(cells + np.repeat(ends[:-1], sizes), minlength=ends[-1])
+    counts = np.minimum(counts, 255).astype(np.uint8)
+    return [counts[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
 def _blobs(rows: np.ndarray) -> pa.Array:
     """Rows of bytes as a binary column."""
     return pa.array([r.tobytes() for r in rows], pa.binary())
@@ -134,8 +144,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, values, rows, sizes, names in _pieces(batch):
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(sizes), pa.array(names.view(np.int64)), _blobs(_sketch(values, rows, len(sizes)))],
-                ["doc_id", "n", "sid", "sketch"],
+                [part["doc_id"], pa.array(sizes), pa.array(names.view(np.int64)), _blobs(_sketch(values, rows, len(sizes))),
+                 pa.array(_fine(values, sizes), pa.binary())],
+                ["doc_id", "n", "sid", "sketch", "fine"],
             )
 
 
@@ -150,10 +161,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, values, rows, sizes, names in _pieces(batch):
+        for part, values, rows, sizes, names in _pieces(batch):
             ends = np.concatenate([[0], np.cumsum(sizes)])
             blobs = pa.array([values[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), blobs], ["sid", "shingles"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(names.view(np.int64)), blobs], ["doc_id", "sid", "shingles"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,24 +193,47 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
         if not len(na):
             continue
-        left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("ka", "kb"))
+        left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
         low, high = np.minimum(na, nb), np.maximum(na, nb)
         keep = (4 * low >= 3 * high) & (7 * np.abs(left - right).sum(axis=1) <= na + nb)
-        yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(keep)) for c in ("a", "b", "doc_a", "doc_b")], ["a", "b", "doc_a", "doc_b"])
+        yield batch.select(["a", "b", "doc_a", "doc_b", "shared"]).filter(pa.array(keep))
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose shingle sets have a similarity of at least 3/4."""
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that their long sketches allow; the longer one is folded to the length of the other."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch["set_a"], batch["set_b"]):
-            u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([u, v])
+        for na, nb, x, y in zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), batch["fa"], batch["fb"]):
+            u, v = np.frombuffer(x.as_buffer(), np.uint8).astype(np.int32), np.frombuffer(y.as_buffer(), np.uint8).astype(np.int32)
+            cells = min(len(u), len(v))
+            apart = np.abs(u.reshape(cells, -1).sum(axis=1) - v.reshape(cells, -1).sum(axis=1)).sum()
+            # full cells of sketches of different length cannot be compared
+            unsure = len(u) != len(v) and max(u.max(), v.max()) == 255
+            keep.append(unsure or 7 * int(apart) <= na + nb)
+        yield batch.select(["a", "b", "doc_a", "doc_b", "shared"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): from rows sorted by block, its head first, the members with a similarity of at least 3/4."""
+    block = head = doc = None
+    for batch in batches:
+        found = []
+        for key, salt, is_head, doc_id, blob in zip(
+            batch["key"].to_pylist(), batch["salt"].to_pylist(), batch["head"].to_pylist(), batch["doc_id"].to_pylist(), batch["shingles"]
+        ):
+            values = np.frombuffer(blob.as_buffer(), np.uint64)
+            if is_head:
+                block, head, doc = (key, salt), values.copy(), doc_id
+                continue
+            if block != (key, salt):
+                raise ValueError("a block of candidates came without its head")
+            both = np.concatenate([head, values])
             both.sort(kind="stable")
             common = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * common >= 75 * (len(u) + len(v) - common))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["doc_a"].filter(mask), batch["doc_b"].filter(mask)], ["a", "b"])
+            if 100 * common >= 75 * (len(both) - common):
+                found.append((doc, doc_id))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,25 +263,62 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _verified(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b): the first documents of the sets of *pairs* (set names) that are similar."""
-    side = lambda x: profiles.select(
-        F.col("sid").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")
+def _likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """*pairs* (a, b, shared) of set names with their first documents, freed of those that cannot be similar:
+    first by short sketches, then by long ones."""
+    def side(x: str, sketch: str, *more: str) -> DataFrame:
+        named = {"doc": f"doc_{x}", "n": f"n{x}"}
+        return profiles.select(F.col("sid").alias(x), *[F.col(c).alias(named[c]) for c in more], F.col(sketch).alias(f"{sketch[0]}{x}"))
+
+    columns = "a bigint, b bigint, doc_a bigint, doc_b bigint, shared bigint"
+    first = ("doc", "n")
+    some = staged(
+        pairs.join(side("a", "sketch", *first), "a").join(side("b", "sketch", *first), "b").mapInArrow(_near, columns), "partenum-some"
+    )
+    return staged(some.join(side("a", "fine", "n"), "a").join(side("b", "fine", "n"), "b").mapInArrow(_finer, columns), "partenum-near")
+
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of *docs* whose doc_id may be in *wanted* (id): a filter of fixed size, 2**22 bits in 2**16
+    rows, is all that is sent to them. Whatever passes by chance falls out in the exact join behind it."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 22))
+    bits = wanted.groupBy(F.shiftright(bit("id"), 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit("id") % 64).cast("int"))).alias("bits")
     )
-    near = staged(
-        pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a bigint, b bigint, doc_a bigint, doc_b bigint"),
-        "partenum-near",
+    return docs.join(F.broadcast(bits), F.shiftright(bit("doc_id"), 6) == F.col("word")).filter(
+        F.call_function("shiftright", F.col("bits"), (bit("doc_id") % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    ).select("doc_id", "text")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): the first documents of the sets of *pairs* that are similar.
+
+    Pairs meet by their ``a``, which is sent once to each block of at most some BLOCK partners.
+    """
+    heads = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"), F.any_value("doc_a").alias("doc"))
+    members = pairs.join(heads.select("a", "blocks"), "a").select(
+        F.col("b").alias("sid"), F.col("doc_b").alias("doc"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("salt"), F.lit(False).alias("head")
     )
-    wanted = near.select(F.col("doc_a").alias("w")).unionAll(near.select("doc_b")).distinct()
-    texts = docs.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").select("text")
-    sets = staged(texts.mapInArrow(_whole_sets, "sid bigint, shingles binary").dropDuplicates(["sid"]), "partenum-sets")
-    return (
-        near.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .mapInArrow(_similar, "a bigint, b bigint")
+    copies = heads.select(F.col("a").alias("sid"), "doc", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("salt"), F.lit(True).alias("head"))
+    placed = staged(members.unionAll(copies), "partenum-places")
+    sets = _among(docs, placed.select(F.col("doc").alias("id"))).mapInArrow(_whole_sets, "doc_id bigint, sid bigint, shingles binary")
+    return staged(
+        sets.join(placed.withColumnRenamed("sid", "of"), (F.col("sid") == F.col("of")) & (F.col("doc_id") == F.col("doc")))
+        .select("key", "salt", "head", "doc_id", "shingles")
+        .repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("head"))
+        .mapInArrow(_similar, "a bigint, b bigint").distinct(),
+        "partenum-links",
     )
 
 
+def _open(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The *pairs* between different components of *labels*."""
+    of = lambda x: labels.select(F.col("node").alias(f"doc_{x}"), F.col("component").alias(f"c_{x}"))
+    return pairs.join(of("a"), "doc_a", "left").join(of("b"), "doc_b", "left").filter(
+        F.coalesce("c_a", "doc_a") != F.coalesce("c_b", "doc_b")
+    ).select("a", "b", "doc_a", "doc_b", "shared")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of *docs*.
 
@@ -258,11 +329,11 @@ def classes(docs: DataFrame) -> DataFrame:
     NULL component. An empty table gives an empty result; other columns are ignored. doc_id is an integer.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = staged(texts.mapInArrow(_profiles, "doc_id bigint, n bigint, sid bigint, sketch binary"), "partenum-profiles")
+    rows = staged(texts.mapInArrow(_profiles, "doc_id bigint, n bigint, sid bigint, sketch binary, fine binary"), "partenum-profiles")
     known = texts.filter(F.col("doc_id").isNotNull())
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     profiles = staged(
-        full.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")),
+        full.groupBy("sid").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("fine").alias("fine")),
         "partenum-sets-of",
     )
     groups = staged(
@@ -270,12 +341,21 @@ def classes(docs: DataFrame) -> DataFrame:
         .mapInArrow(_runs, "sig bigint, sid bigint, head bigint"),
         "partenum-groups",
     )
-    stars = groups.select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct()
-    links = staged(_verified(stars, profiles, known), "partenum-links")
+    stars = groups.groupBy(F.col("head").alias("a"), F.col("sid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    likely = _likely(stars, profiles)
+    # First each set with the head it shares most with: that joins nearly all that belong together.
+    best = staged(
+        likely.groupBy("b").agg(F.max_by(F.struct("a", "doc_a", "doc_b", "shared"), F.struct("shared", "a")).alias("p")).select("b", "p.*"),
+        "partenum-best",
+    )
     same_id = full.join(profiles, "sid").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).filter("a <> b").distinct()
     twice = same_id.groupBy("a").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("a")
-    links = links.unionAll(same_id.join(twice, "a", "left_semi"))
+    links = _verified(best, known).unionAll(same_id.join(twice, "a", "left_semi"))
     labels = components(links)
+    others = staged(_open(likely.join(best.select("a", "b"), ["a", "b"], "left_anti"), labels), "partenum-open")
+    if not others.isEmpty():
+        links = links.unionAll(_verified(others, known))
+        labels = components(links)
     members = (
         groups.join(profiles, "sid").join(labels, F.col("doc") == F.col("node"), "left")
         .select("sig", "sid", "n", "sketch", F.coalesce("component", "doc").alias("component"))
@@ -301,10 +381,9 @@ def classes(docs: DataFrame) -> DataFrame:
         .select("members_a", "members_b", (F.col("block_a") == F.col("block_b")).alias("same"))
         .mapInArrow(_block_pairs, "a bigint, b bigint").distinct()
     )
-    rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "partenum-rest")
+    rest = _likely(rest.join(stars, ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("bigint")), profiles)
     if not rest.isEmpty():
-        links = staged(links.unionAll(_verified(rest, profiles, known)), "partenum-all-links")
-        labels = components(links)
+        labels = components(links.unionAll(_verified(rest, known)))
     whole = full.join(profiles.select("sid", "doc"), "sid").join(labels, F.col("doc") == F.col("node"), "left")
     found = whole.groupBy("doc_id").agg(F.min(F.coalesce("component", "doc")).alias("component_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select(
