@@ -29,15 +29,21 @@ def parse_date_filter(value: str, as_of: int) -> int:
 
 
 def date_filter(value: Column, as_of: int) -> Column:
-    """Column form of :func:`parse_date_filter` for a table of filters (ISO dates only)."""
+    """Column form of :func:`parse_date_filter` for a table of filters."""
     text = F.trim(value)
     pattern = r"^(\d+)([dmy])$"
     amount = F.regexp_extract(text, pattern, 1).cast("bigint")
     unit = F.regexp_extract(text, pattern, 2)
     seconds = F.when(unit == "d", UNIT_SECONDS["d"]).when(unit == "m", UNIT_SECONDS["m"])
     relative = F.lit(as_of) - amount * seconds.otherwise(UNIT_SECONDS["y"])
+    zoned = text.rlike(r"(Z|[+-]\d{2}:\d{2})$")
+    moment = F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
     return (
         F.when(text.rlike(pattern), relative)
+        .when(
+            text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?$"),
+            F.unix_seconds(moment),
+        )
         .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.unix_date(text.try_cast("date")) * DAY)
         .otherwise(F.raise_error(F.concat(F.lit("not a date filter: "), value)).cast("bigint"))
         .cast("bigint")

@@ -215,8 +215,9 @@ def similarity(vector: Column, query: list[float]) -> Column:
 def vector_scores(
     embeddings: DataFrame, query: list[float], limit: int | None = 100, type_filter: str | None = None
 ) -> DataFrame:
-    """Most similar embeddings with a cosine of at least 0.05, without metadata."""
-    rows = embeddings
+    """Most similar embeddings with a cosine of at least 0.05, without metadata. Vectors that are NULL or
+    of another length than the query (from another model) have no score."""
+    rows = embeddings.filter(F.size("vector") == len(query))
     if type_filter is not None:
         rows = rows.filter(F.col("type") == type_filter)
     scored = rows.select("type", "ref_id", similarity(F.col("vector"), query).alias("cosine"))

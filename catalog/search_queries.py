@@ -267,17 +267,14 @@ def embedded_functions(h):
 
 
 @direct(sql="""
-    SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 0 + 1, 4) AS length
-    FROM embeddings""")
+    SELECT vec_id, unnest(range(0, len(v))) AS place,
+           CAST(CAST(unnest(v) / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE) AS value
+    FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(CAST(x * 3 AS FLOAT) AS DOUBLE)) AS v FROM embeddings)""")
 def normalized_vectors(spark, sf_dir):
     scaled = F.transform("embedding", lambda x: (x * 3).cast("float"))
-    unit = _length(search.normalized(scaled))
-    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(unit, 4).alias("length"))
-
-
-def _length(vector):
-    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    return F.sqrt(squares)
+    return read(spark, sf_dir, "embeddings").select(
+        "vec_id", F.posexplode(search.normalized(scaled)).alias("place", "unit")
+    ).select("vec_id", F.col("place").cast("bigint").alias("place"), F.col("unit").cast("double").alias("value"))
 
 
 @direct(sql="""

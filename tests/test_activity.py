@@ -152,9 +152,10 @@ def test_date_filter(spark):
     assert clock.parse_date_filter("1y", as_of) == as_of - 365 * 86400
     with pytest.raises(ValueError):
         clock.parse_date_filter("not-a-date", as_of)
-    df = spark.createDataFrame([("30d",), ("2026-01-01",)], "v string")
+    given = ["30d", "2026-01-01", "2026-01-01T10:20:30", "2026-01-01 10:20", "2026-01-01T10:20:30Z", "2026-01-01T10:20:30+02:00"]
+    df = spark.createDataFrame([(v,) for v in given], "v string")
     assert [r[0] for r in df.select(clock.date_filter(F.col("v"), as_of)).collect()] == [
-        as_of - 30 * 86400, ts("2026-01-01"),
+        clock.parse_date_filter(v, as_of) for v in given
     ]
     with pytest.raises(Exception, match="not a date filter"):
         spark.createDataFrame([("soon",)], "v string").select(clock.date_filter(F.col("v"), as_of)).collect()

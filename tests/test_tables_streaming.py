@@ -109,9 +109,8 @@ def test_incremental_ingest(spark, make_history, table, tmp_path):
     table("commits", [("c1", "A", 10, "Add", 2), ("c2", "B", 20, "Change", 2)]).coalesce(1).write.mode("append").parquet(source)
     h = run()
     assert sorted(r["name"] for r in dicts(h.functions)) == ["f", "h"]  # b.py is gone
-    assert {(r["function_name"], r["commit_hash"], r["change_type"]) for r in dicts(h.function_changes)} == {
-        ("f", "c1", "added"), ("g", "c1", "added"), ("f", "c2", "modified"), ("h", "c2", "added"), ("g", "c2", "deleted"),
-    } or {r["change_type"] for r in dicts(h.function_changes)} == {"added", "modified", "renamed"}
+    later = [(r["commit_hash"], r["change_type"]) for r in dicts(h.function_changes)]
+    assert sorted(later) == [("c1", "added"), ("c1", "added"), ("c2", "modified"), ("c2", "renamed")]  # g became h
     assert dicts(h.dep_changes)[0]["package"] == "x" and dicts(h.config_changes)[0]["key_path"] == "a"
     assert {r["author"] for r in dicts(h.blame_entries)} == {"A"}
 
