@@ -37,7 +37,8 @@ def date_filter(value: Column, as_of: int) -> Column:
     seconds = F.when(unit == "d", UNIT_SECONDS["d"]).when(unit == "m", UNIT_SECONDS["m"])
     relative = F.lit(as_of) - amount * seconds.otherwise(UNIT_SECONDS["y"])
     zoned = text.rlike(r"(Z|[+-]\d{2}:\d{2})$")
-    moment = F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+    full = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:\d{2})?$", "$1:00$2")
+    moment = F.when(zoned, full).otherwise(F.concat(full, F.lit("Z"))).try_cast("timestamp")
     return (
         F.when(text.rlike(pattern), relative)
         .when(
