@@ -117,8 +117,8 @@ def _sketch(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
 
 
 def _fine(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Longer sketches, of a power of two of cells, a quarter to a half of the size of the set."""
-    bits = np.maximum(6, np.frexp(np.maximum(sizes, 1))[1] - 2)
+    """Longer sketches, of a power of two of cells: a quarter to a half of the size of the set, 2**14 at most."""
+    bits = np.clip(np.frexp(np.maximum(sizes, 1))[1] - 2, 6, 14)
     ends = np.concatenate([[0], np.cumsum(1 << bits)])
     cells = (mix(values ^ _SEEDS[2]) >> np.repeat(64 - bits, sizes).astype(np.uint64)).astype(np.int64)
     counts = np.bincount(cells + np.repeat(ends[:-1], sizes), minlength=ends[-1])
@@ -236,31 +236,36 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
 
+def _folded(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Long sketches as rows of the shortest length among them, and which of them have a full cell."""
+    counts = [np.frombuffer(s, np.uint8) for s in sketches]
+    cells = min(map(len, counts))
+    rows = np.array([c.reshape(cells, -1).sum(axis=1, dtype=np.int32) for c in counts])
+    return rows, np.array([c.max() == 255 for c in counts])
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components from two blocks of one signature that pass size and sketch."""
+    """Pairs of different components from two blocks of one signature that sizes and sketches allow."""
     for batch in batches:
-        for row in batch.to_pylist():
-            sides = []
-            for name in ("members_a", "members_b"):
-                m = row[name]
-                sides.append((
-                    np.array([x["sid"] for x in m]), np.array([x["component"] for x in m]), np.array([x["n"] for x in m]),
-                    np.frombuffer(b"".join(x["sketch"] for x in m), np.uint8).reshape(-1, SKETCH).astype(np.int16),
-                ))
-            (sa, ca, na, ka), (sb, cb, nb, kb) = sides
-            found: list[tuple[int, int]] = []
-            for i in range(len(sa)):
-                low, high = np.minimum(na[i], nb), np.maximum(na[i], nb)
-                ok = (ca[i] != cb) & (4 * low >= 3 * high)
-                if row["same"]:
-                    ok &= sa[i] < sb
-                at = np.flatnonzero(ok)
-                at = at[7 * np.abs(kb[at] - ka[i]).sum(axis=1) <= na[i] + nb[at]]
-                found += [(int(sa[i]), int(s)) for s in sb[at]]
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"]
-                )
+        found: set[tuple[int, int]] = set()
+        for at in range(batch.num_rows):
+            row = {c: batch[c][at].as_py() for c in batch.schema.names}
+            a, b = row["members_a"], row["members_b"]
+            fine, full = _folded([x["fine"] for x in a + b])
+            short = fine.reshape(len(fine), SKETCH, -1).sum(axis=2)
+            sid, component, n = (np.array([x[c] for x in a + b]) for c in ("sid", "component", "n"))
+            right = np.arange(len(a), len(a + b))
+            for i in range(len(a)):
+                low, high = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
+                ok = right[(component[i] != component[right]) & (4 * low >= 3 * high) & ((sid[i] < sid[right]) | (not row["same"]))]
+                for sketch in (short, fine):
+                    apart = np.abs(sketch[ok] - sketch[i]).sum(axis=1)
+                    ok = ok[(7 * apart <= n[i] + n[ok]) | full[i] | full[ok]]
+                found.update((min(int(sid[i]), int(sid[j])), max(int(sid[i]), int(sid[j]))) for j in ok)
+        if found:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"]
+            )
 
 
 def _likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -358,7 +363,7 @@ def classes(docs: DataFrame) -> DataFrame:
         labels = components(links)
     members = (
         groups.join(profiles, "sid").join(labels, F.col("doc") == F.col("node"), "left")
-        .select("sig", "sid", "n", "sketch", F.coalesce("component", "doc").alias("component"))
+        .select("sig", "sid", "n", "fine", F.coalesce("component", "doc").alias("component"))
     )
     open_groups = (
         members.groupBy("sig").agg(
@@ -371,7 +376,7 @@ def classes(docs: DataFrame) -> DataFrame:
     blocks = staged(
         members.join(open_groups, "sig")
         .groupBy("sig", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"))
-        .agg(F.collect_list(F.struct("sid", "n", "component", "sketch")).alias("members")),
+        .agg(F.collect_list(F.struct("sid", "n", "component", "fine")).alias("members")),
         "partenum-blocks",
     )
     left = blocks.select("sig", F.col("block").alias("block_a"), F.col("members").alias("members_a"))
