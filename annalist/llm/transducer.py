@@ -18,6 +18,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -217,45 +218,56 @@ def _once(kind, path: str):
     return _loaded[kind, path]
 
 
+def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encoder = _once(Encoder, path)
+    for batch in batches:
+        for part in _slices(batch, "text"):
+            ids = [np.array(encoder.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in part["text"].to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            values = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], column], ["doc_id", "ids"])
+
+
+def _decoded(path: str, plain: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    decoder = _once(Decoder, path)
+    for batch in batches:
+        for start in range(0, batch.num_rows, 500):
+            part = batch.slice(start, 500)
+            lists, text = part["ids"], []
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for a, b in zip(offsets, offsets[1:]):
+                ids = values[a:b]
+                text.append("".join(decoder.plain(ids.tolist())) if plain else decoder.library(ids))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], lists, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
+
+
+def _digested(with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch["ids"]
+        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        names = [hashlib.sha256(" ".join(map(str, values[a:b].tolist())).encode()).hexdigest() for a, b in zip(offsets, offsets[1:])]
+        text = [hashlib.sha256(t.encode()).hexdigest() for t in batch["text"].to_pylist()]
+        columns = [batch["doc_id"], pa.array(np.diff(offsets).astype(np.int64)), pa.array(names, pa.string()), pa.array(text, pa.string())]
+        fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        yield pa.RecordBatch.from_arrays(columns + [lists] * with_ids, fields + ["ids"] * with_ids)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids) for every row of *docs*: the token ids of the whole text, without special tokens
     around it. NULL and empty texts have no ids; repeated rows are encoded each; an empty table gives an
     empty result; other columns are ignored. The file at *path* must exist on every executor.
     """
     path = path or vocabulary_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _once(Encoder, path)
-        for batch in batches:
-            for part in _slices(batch, "text"):
-                ids = [np.array(encoder.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in part["text"].to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], column], ["doc_id", "ids"])
-
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(partial(_encoded, path), f"doc_id {key}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None, plain: bool = False) -> DataFrame:
     """*encoded* (doc_id, ids) with ``text``: the library's decoding, or the plain text of the bytes."""
     path = path or vocabulary_path()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _once(Decoder, path)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                lists, text = part["ids"], []
-                values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-                for a, b in zip(offsets, offsets[1:]):
-                    ids = values[a:b]
-                    text.append("".join(decoder.plain(ids.tolist())) if plain else decoder.library(ids))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], lists, pa.array(text, pa.string())], ["doc_id", "ids", "text"])
-
     key = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {key}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path, plain), f"doc_id {key}, ids array<int>, text string")
 
 
 def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -265,23 +277,13 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator
 
 
 def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, and ids if asked for: both directions
-    run, digests of their real outputs."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, and ids if asked for: what :func:`encode`
+    and :func:`decode` do, one after the other in one worker, and digests of their outputs."""
     path = path or vocabulary_path()
-    done = decode(encode(docs, path), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch["ids"]
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            names = [hashlib.sha256(" ".join(map(str, values[a:b].tolist())).encode()).hexdigest() for a, b in zip(offsets, offsets[1:])]
-            text = [hashlib.sha256(t.encode()).hexdigest() for t in batch["text"].to_pylist()]
-            columns = [batch["doc_id"], pa.array(np.diff(offsets).astype(np.int64)), pa.array(names, pa.string()), pa.array(text, pa.string())]
-            if with_ids:
-                columns.append(lists)
-            yield pa.RecordBatch.from_arrays(columns, fields)
-
-    key = done.schema["doc_id"].dataType.simpleString()
+        return _digested(with_ids, _decoded(path, False, _encoded(path, batches)))
+
+    key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    return done.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
