@@ -23,8 +23,8 @@ from annalist.llm.common import staged
 
 #: HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noframes template svg".split())
-HIDDEN = RAW | frozenset("head nav footer aside form button select option menu dialog object canvas audio video map".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
+HIDDEN = RAW | frozenset("template svg head nav footer aside form button select option menu dialog object canvas audio video map".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3"
     " h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -41,6 +41,7 @@ ASIDE = frozenset(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 NAMES = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -72,18 +73,17 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, str, bool]]:
     """(event, tag, path, hidden, text, in article) in page order; events are open, close and text.
 
     Missing end tags are made up as browsers do for paragraphs and list items; an end tag closes what
-    stands open inside its element and is ignored without one.
+    stands open inside its element and is ignored without one. Raw elements reach to their own end tag, or
+    to the end of the page, whatever stands in between.
     """
     stack: list[tuple[str, str, bool, bool]] = [("", ROOT, False, False)]
-    at, raw = 0, ""
-    for found in TOKEN.finditer(page):
+    at, rest_of_page = 0, TOKEN.finditer(page)
+    while found := next(rest_of_page, None):
         closing, name, rest = found.group(1), (found.group(2) or "").lower(), found.group(3)
-        if raw and not (closing and name == raw):
-            continue
-        if found.start() > at and not raw:
+        if found.start() > at:
             tag, path, hidden, inside = stack[-1]
             yield "text", tag, path, hidden, page[at : found.start()], inside
-        at, raw = found.end(), ""
+        at = found.end()
         if not name:
             continue
         if closing:
@@ -114,10 +114,14 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, str, bool]]:
         yield "open", name, path, hidden, "", inside
         if name in VOID or rest.endswith("/") and name not in BLOCKS:
             yield "close", name, path, hidden, "", inside
+        elif name in RAW:
+            yield "close", name, path, hidden, "", inside
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+            rest_of_page = TOKEN.finditer(page, at)
         else:
             stack.append((name, path, hidden, inside))
-            raw = name if name in RAW else ""
-    if at < len(page) and not raw:
+    if at < len(page):
         tag, path, hidden, inside = stack[-1]
         yield "text", tag, path, hidden, page[at:], inside
     for tag, path, hidden, inside in reversed(stack[1:]):

@@ -46,6 +46,15 @@ def test_pages(spark):
     assert templates.main_text(pages(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>var a='<!--';if(a<b&&c>d)f(\"it's\")</script>", "<STYLE>a<b{}'</Style >",
+    "<script>x='</scripts>'+\"</p>\"</script\n>", "<svg><title>t</title><path d='M0'/></svg>", "<template><template>a</template>b</template>",
+])
+def test_raw_elements_end_at_their_own_tag(raw):
+    assert templates.extract(f"<body>{raw}<article>One {raw}<p>two</article></body>", None) == "One\ntwo"
+    assert templates.extract("<article>One<script>a<b</article>", None) == "One"
+
+
 def test_best_fit_against_search():
     chance = random.Random(4)
     for _ in range(60):
