@@ -42,7 +42,14 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
 )
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
-MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: Words of form that may follow a name of ASIDE in a longer name: ad-box, comments-area.
+SHAPES = frozenset(
+    "area bar block box button buttons container content div form inner item items left right top bottom link links list outer panel"
+    " post posts section slot title widget widgets wrap wrapper".split()
+)
+#: Elements whose id may name an aside; ids of headings, sections and anchors are made from the article's text.
+ID_NAMES = frozenset("div ul ol dl table td center".split())
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NAMES = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 SPACE = re.compile(r"\s+")
@@ -56,6 +63,31 @@ def host_of(url: str | None) -> str:
     return found.group(1).lower() if found else ""
 
 
+def _names(rest: str) -> dict[str, str]:
+    """The class, id and role among the attributes of a start tag, in small letters."""
+    found: dict[str, str] = {}
+    if "=" in rest:
+        for m in ATTRIBUTE.finditer(rest):
+            name = m.group(1).lower()
+            if name in ("class", "id", "role"):
+                found.setdefault(name, (m.group(2) or m.group(3) or m.group(4) or "").lower())
+    return found
+
+
+def _aside(tag: str, names: dict[str, str]) -> bool:
+    """Whether a whole name of an element, or its beginning before words of form, is one of ASIDE."""
+    if not names or tag in ("html", "body", "article", "main"):
+        return False
+    whole = [*names.get("class", "").split(), *names.get("role", "").split()]
+    if tag in ID_NAMES and "section" not in whole:
+        whole += names.get("id", "").split()
+    for name in whole:
+        first, *more = re.split(r"[-_]+", name)
+        if first in ASIDE and all(w in ASIDE or w in SHAPES or not w.strip("0123456789") for w in more):
+            return True
+    return False
+
+
 _paths: dict[tuple[str, str], str] = {}
 
 
@@ -69,28 +101,87 @@ def _path(parent: str, label: str) -> str:
     return name
 
 
+def _holders(events: list[tuple[str, str, str, int, str, bool]]) -> set[int]:
+    """The open events of elements marked by name that hold the article all the same: the page's ``main``,
+    or all of its ``article`` elements and in them half of its text or more."""
+    holding: set[int] = set()
+    opened: list[int] = []
+    all_of, inside_of = [0, 0], {}  # articles, and characters of text or those inside articles
+    total = articles = hidden = 0
+    for i, (event, tag, _, flag, text, _) in enumerate(events):
+        if event == "open":
+            opened.append(i)
+            hidden += flag == 1
+            articles += tag == "article"
+            if flag == 2:
+                inside_of[i] = [0, 0]
+            if hidden or tag not in ("article", "main"):
+                continue
+            marked = [k for k in opened if events[k][3] == 2]
+            if tag == "main":
+                holding.update(marked)
+            else:
+                all_of[0] += 1
+                for k in marked:
+                    inside_of[k][0] += 1
+        elif event == "close":
+            closed = opened.pop()
+            hidden -= events[closed][3] == 1
+            articles -= tag == "article"
+        elif not hidden:
+            size = len(text.strip())
+            total += size
+            if articles and size:
+                for k in opened:
+                    if events[k][3] == 2:
+                        inside_of[k][1] += size
+    if all_of[0]:
+        holding.update(k for k, (n, size) in inside_of.items() if n == all_of[0] and 2 * size >= total > 0)
+    return holding
+
+
 def walk(page: str) -> Iterator[tuple[str, str, str, bool, str, bool]]:
     """(event, tag, path, hidden, text, in article) in page order; events are open, close and text.
 
+    Elements of HIDDEN and those named as an aside are hidden with what stands in them, the latter
+    unless they hold the article.
+    """
+    events = list(_events(page))
+    marked = any(flag == 2 for _, _, _, flag, _, _ in events)
+    holding = _holders(events) if marked and any(e[1] in ("article", "main") for e in events) else ()
+    covers: list[bool] = []
+    hidden = 0
+    for i, (event, tag, path, flag, text, inside) in enumerate(events):
+        if event == "open":
+            covers.append(flag == 1 or flag == 2 and i not in holding)
+            hidden += covers[-1]
+        yield event, tag, path, hidden > 0, text, inside
+        if event == "close":
+            hidden -= covers.pop()
+
+
+def _events(page: str) -> Iterator[tuple[str, str, str, int, str, bool]]:
+    """(event, tag, path, flag, text, in article); the flag of an element is 1 if its tag hides it, 2 if its names do.
+
     Missing end tags are made up as browsers do for paragraphs and list items; an end tag closes what
     stands open inside its element and is ignored without one. Raw elements reach to their own end tag, or
     to the end of the page, whatever stands in between.
     """
-    stack: list[tuple[str, str, bool, bool]] = [("", ROOT, False, False)]
+    stack: list[tuple[str, str, int, bool]] = [("", ROOT, 0, False)]
     at, rest_of_page = 0, TOKEN.finditer(page)
     while found := next(rest_of_page, None):
         closing, name, rest = found.group(1), (found.group(2) or "").lower(), found.group(3)
         if found.start() > at:
-            tag, path, hidden, inside = stack[-1]
-            yield "text", tag, path, hidden, page[at : found.start()], inside
+            tag, path, flag, inside = stack[-1]
+            yield "text", tag, path, flag, page[at : found.start()], inside
         at = found.end()
         if not name:
             continue
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    for tag, path, hidden, inside in reversed(stack[i:]):
-                        yield "close", tag, path, hidden, "", inside
+                    for tag, path, flag, inside in reversed(stack[i:]):
+                        yield "close", tag, path, flag, "", inside
                     del stack[i:]
                     break
             continue
@@ -98,34 +189,33 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool, str, bool]]:
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in ends:
-                    for tag, path, hidden, inside in reversed(stack[i:]):
-                        yield "close", tag, path, hidden, "", inside
+                    for tag, path, flag, inside in reversed(stack[i:]):
+                        yield "close", tag, path, flag, "", inside
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCKS and stack[i][0] != "p":
                     break
-        marks = [n for m in MARK.finditer(rest) for n in NAMES.findall((m.group(1) or m.group(2) or m.group(3) or "").lower())] if rest else ()
-        tag, path, hidden, inside = stack[-1]
-        hidden = hidden or name in HIDDEN or (name == "header" and not inside) or (
-            name not in ("html", "body", "article", "main") and not ASIDE.isdisjoint(marks)
-        )
+        names = _names(rest) if rest else {}
+        marks = [n for value in names.values() for n in NAMES.findall(value)]
+        _, path, _, inside = stack[-1]
+        flag = 1 if name in HIDDEN or name == "header" and not inside else 2 if _aside(name, names) else 0
         inside = inside or name in ("article", "main")
         path = _path(path, " ".join([name, *marks]))
-        yield "open", name, path, hidden, "", inside
+        yield "open", name, path, flag, "", inside
         if name in VOID or rest.endswith("/") and name not in BLOCKS:
-            yield "close", name, path, hidden, "", inside
+            yield "close", name, path, flag, "", inside
         elif name in RAW:
-            yield "close", name, path, hidden, "", inside
+            yield "close", name, path, flag, "", inside
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             rest_of_page = TOKEN.finditer(page, at)
         else:
-            stack.append((name, path, hidden, inside))
+            stack.append((name, path, flag, inside))
     if at < len(page):
-        tag, path, hidden, inside = stack[-1]
-        yield "text", tag, path, hidden, page[at:], inside
-    for tag, path, hidden, inside in reversed(stack[1:]):
-        yield "close", tag, path, hidden, "", inside
+        tag, path, flag, inside = stack[-1]
+        yield "text", tag, path, flag, page[at:], inside
+    for tag, path, flag, inside in reversed(stack[1:]):
+        yield "close", tag, path, flag, "", inside
 
 
 def tokens(page: str) -> dict[str, list]:
@@ -136,6 +226,7 @@ def tokens(page: str) -> dict[str, list]:
         if event == "open":
             entry = seen.setdefault(path, [tag, len(opened), 0, 0, hidden])
             entry[2] += 1
+            entry[4] &= hidden
             opened.append(path)
         elif event == "close":
             opened.pop()
@@ -165,6 +256,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         row[5] += times
                         row[6] ^= mark
                         row[7] += chars
+                        row[8] &= hidden
         if found:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(zip(*found.values()), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
@@ -184,7 +276,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens_ = staged(
         rows.groupBy("host", "path").agg(
             F.min("tag").alias("tag"), F.min("depth").alias("depth"), F.sum("pages").alias("pages"), F.sum("times").alias("times"),
-            F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("hidden").alias("hidden"),
+            F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.min("hidden").alias("hidden"),
         ),
         "template-tokens",
     )

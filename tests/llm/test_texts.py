@@ -55,6 +55,17 @@ def test_raw_elements_end_at_their_own_tag(raw):
     assert templates.extract("<article>One<script>a<b</article>", None) == "One"
 
 
+def test_only_whole_names_hide():
+    article = "<article><h2 id='related-work'>One</h2><section id=search><h3 id='social-history'>two</h3><p data-id='menu' data-role=ad title='class=ad'>three</section><div class='ad-box'>x</div></article>"
+    for name in ("content no-sidebar", "has-sidebar", "search-results", "with-comments", "layout sidebar"):
+        page = f"<body><div class='{name}'>{article}<aside>y</aside></div></body>"
+        assert templates.extract(page, None) == "One\ntwo\nthree"
+        assert templates.extract(f"<body><div class='{name}'><main>{prose(1, 5)}</main></div></body>", None) == prose(1, 5)
+    more = "<div class='comments-area'><article>first!</article></div><div id='sidebar_left'><article>teaser</article></div>"
+    assert templates.extract(f"<body><div>{prose(1, 30)}</div>{more}<div role=search>s</div></body>", "none") != ""
+    assert templates.extract(f"<body><article>{prose(1, 30)}</article>{more}</body>", None) == prose(1, 30)
+
+
 def test_best_fit_against_search():
     chance = random.Random(4)
     for _ in range(60):
