@@ -1,11 +1,12 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-The tokens of a page are its tags, told apart by the path of elements around them. Per host, each token
-has an occurrence vector: how often it stands in each page. Tokens with the same vector form a class;
-the vectors are compared by an order-free fingerprint, so they are summed up in parts and never gathered.
-A class is valid if it holds several tokens and stands once in each of at least half of the host's pages.
-Valid classes nest by their paths and make the template; the rest of a page fills its slots. The slot
-that holds the article, over all pages of the host, is kept, without what serves the page around it.
+The tokens of a page are its elements and its blocks of text, told apart by the path of elements around
+them. Per host, each token has an occurrence vector: in which pages it stands, and how often. Tokens with
+the same vector form a class; the vectors are compared by an order-free fingerprint, so they are summed up
+in parts and never gathered. A class is valid if it holds several tokens and stands once in each of at least
+half of the host's pages. Text in a valid class is template and goes, wherever it stands. Of the
+elements in valid classes the one that holds the article, over all pages of the host, bounds what is kept;
+without one all of the body is kept. Classes are not nested into a tree.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,8 +55,11 @@ NAMES = re.compile(r"[a-z]+")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 SPACE = re.compile(r"\s+")
 ROOT = "root"
+TEXT = "#text"
+LEAST_PAGES = 3  # that a block of text must stand in to be template
 LEAST_SHARE = 0.5  # of the host's pages that a valid class stands in
 MAIN_SHARE = 0.8  # of the host's text that a slot without a telling name must hold
+COPY_SHARE = 0.8  # of a page's text; where more of it is template, the page is a copy of others and stays whole
 
 
 def host_of(url: str | None) -> str:
@@ -218,11 +222,43 @@ def _events(page: str) -> Iterator[tuple[str, str, str, int, str, bool]]:
         yield "close", tag, path, flag, "", inside
 
 
+def text_blocks(events: list[tuple[str, str, str, bool, str, bool]], wanted) -> Iterator[tuple[str, str]]:
+    """(token, text) of the blocks of shown text inside the elements for which *wanted* (tag, path) holds."""
+    inside, parts = 0, []
+    opened = [ROOT]  # paths of the open blocks
+    for event, tag, path, hidden, text, _ in events:
+        if event == "text":
+            if inside and not hidden:
+                parts.append(html.unescape(text))
+            continue
+        if tag in BLOCKS:
+            joined = SPACE.sub(" ", "".join(parts)).strip()
+            if joined:
+                yield hashlib.blake2b(f"{opened[-1]}/{joined}".encode("utf-8", "replace"), digest_size=8).hexdigest(), joined
+            parts.clear()
+            if event == "open":
+                opened.append(path)
+            else:
+                opened.pop()
+        elif tag == "br" and event == "open" and not hidden:
+            parts.append(" ")
+        if wanted(tag, path):
+            inside += 1 if event == "open" else -1
+    joined = SPACE.sub(" ", "".join(parts)).strip()
+    if joined:
+        yield hashlib.blake2b(f"{opened[-1]}/{joined}".encode("utf-8", "replace"), digest_size=8).hexdigest(), joined
+
+
+def _everything(events: list[tuple[str, str, str, bool, str, bool]]) -> list[tuple[str, str, str, bool, str, bool]]:
+    return [("open", "", ROOT, False, "", False), *events, ("close", "", ROOT, False, "", False)]
+
+
 def tokens(page: str) -> dict[str, list]:
-    """By path: [tag, depth, times, characters of shown text inside, hidden]."""
+    """By path: [tag, depth, times, characters of shown text inside, hidden]. A block of text counts once."""
     seen: dict[str, list] = {ROOT: ["", 0, 1, 0, False]}
     opened = [ROOT]
-    for event, tag, path, hidden, text, _ in walk(page):
+    events = list(walk(page))
+    for event, tag, path, hidden, text, _ in events:
         if event == "open":
             entry = seen.setdefault(path, [tag, len(opened), 0, 0, hidden])
             entry[2] += 1
@@ -235,6 +271,8 @@ def tokens(page: str) -> dict[str, list]:
             if size:
                 for p in set(opened):
                     seen[p][3] += size
+    for name, text in text_blocks(_everything(events), lambda tag, path: path == ROOT):
+        seen[name] = [TEXT, 0, 1, len(text), False]
     return seen
 
 
@@ -257,15 +295,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         row[6] ^= mark
                         row[7] += chars
                         row[8] &= hidden
-        if found:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(zip(*found.values()), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
-                ["host", "path", "tag", "depth", "pages", "times", "vector", "chars", "hidden"],
-            )
+            if found and (len(found) > 50_000 or start + 100 >= batch.num_rows):
+                yield _rows(found)
+                found.clear()
+
+
+def _rows(found: dict[tuple[str, str], list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), t) for c, t in zip(zip(*found.values()), (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+        ["host", "path", "tag", "depth", "pages", "times", "vector", "chars", "hidden"],
+    )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, tag, n_pages): the path of the slot with the article, for every host that has one.
+    """(host, slot, tag, n_pages, texts): for every host with shown text the path of the slot with the article,
+    NULL without one, and the blocks of text that belong to the template, at most twice as many as a page has.
 
     An ``article`` that holds half of the host's text comes first, then ``main``, the outermost of several;
     else the innermost container that holds four fifths.
@@ -277,31 +321,29 @@ def templates(pages: DataFrame) -> DataFrame:
         rows.groupBy("host", "path").agg(
             F.min("tag").alias("tag"), F.min("depth").alias("depth"), F.sum("pages").alias("pages"), F.sum("times").alias("times"),
             F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.min("hidden").alias("hidden"),
-        ),
+        ).filter((F.col("tag") != TEXT) | (F.col("pages") >= LEAST_PAGES)),
         "template-tokens",
     )
     root = tokens_.filter(F.col("path") == ROOT).select("host", F.col("pages").alias("n_pages"), F.col("chars").alias("all_chars"))
-    # A start and an end tag are two tokens; the root's class is always valid.
-    classes = (
-        tokens_.filter("times = pages").groupBy("host", "vector", "pages").agg((2 * F.count(F.lit(1))).alias("size"))
-        .join(root, "host").filter((F.col("size") >= 2) & (F.col("pages") >= LEAST_SHARE * F.col("n_pages")))
-    )
-    members = tokens_.filter("times = pages AND NOT hidden").join(classes, ["host", "vector", "pages"])
+    # Elements and blocks of text are a token each; a class needs several.
+    often = tokens_.filter("times = pages").join(root, "host").filter(F.col("pages") >= LEAST_SHARE * F.col("n_pages"))
+    classes = often.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).filter("size >= 2")
+    valid = often.filter("NOT hidden").join(classes, ["host", "vector", "pages"])
     half = 2 * F.col("chars") >= F.col("all_chars")
     rank = (
         F.when((F.col("tag") == "article") & half, F.struct(F.lit(3).alias("r"), (-F.col("depth")).alias("d"), "path"))
         .when((F.col("tag") == "main") & half, F.struct(F.lit(2).alias("r"), (-F.col("depth")).alias("d"), "path"))
         .when(F.col("tag").isin(*CONTAINERS) & (F.col("chars") >= MAIN_SHARE * F.col("all_chars")), F.struct(F.lit(1).alias("r"), F.col("depth").alias("d"), "path"))
     )
-    return (
-        members.withColumn("rank", rank).filter("rank IS NOT NULL AND all_chars > 0")
-        .groupBy("host").agg(F.max_by(F.struct("path", "tag", "n_pages"), "rank").alias("best"))
-        .select("host", F.col("best.path").alias("slot"), F.col("best.tag").alias("tag"), F.col("best.n_pages").alias("n_pages"))
+    found = valid.withColumn("rank", rank).filter("all_chars > 0").groupBy("host").agg(
+        F.max_by(F.struct("path", "tag"), "rank").alias("best"), F.max("n_pages").alias("n_pages"),
+        F.array_sort(F.collect_list(F.when(F.col("tag") == TEXT, F.col("path")))).alias("texts"),
     )
+    return found.select("host", F.col("best.path").alias("slot"), F.col("best.tag").alias("tag"), "n_pages", "texts")
 
 
-def extract(page: str, slot: str | None) -> str:
-    """The text in *slot*; without such a slot, in the page's article, main or body."""
+def extract(page: str, slot: str | None, texts: Collection[str] = ()) -> str:
+    """The text in *slot* but for the template *texts*; without such a slot, in the page's article, main or body."""
     events = list(walk(page))
     paths = {path for event, _, path, _, _, _ in events if event == "open"}
     if slot in paths:
@@ -310,36 +352,22 @@ def extract(page: str, slot: str | None) -> str:
         tags = {tag for event, tag, _, hidden, _, _ in events if event == "open" and not hidden}
         name = next((t for t in ("article", "main", "body") if t in tags), None)
         wanted = lambda tag, path: tag == name
-    everywhere = slot not in paths and name is None
-    blocks: list[list[str]] = [[]]
-    inside = 0
-    for event, tag, path, hidden, text, _ in events:
-        if event == "open":
-            inside += wanted(tag, path)
-        if hidden:
-            if event == "close":
-                inside -= wanted(tag, path)
-            if tag in BLOCKS and event != "text":
-                blocks.append([])
-            continue
-        if event == "text":
-            if inside or everywhere:
-                blocks[-1].append(html.unescape(text))
-        elif tag in BLOCKS:
-            blocks.append([])
-        elif tag == "br":
-            blocks[-1].append(" ")
-        if event == "close":
-            inside -= wanted(tag, path)
-    joined = (SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return "\n".join(b for b in joined if b)
+        if name is None:
+            events = _everything(events)
+            wanted = lambda tag, path: path == ROOT
+    blocks = list(text_blocks(events, wanted))
+    own = [text for name, text in blocks if name not in texts]
+    if sum(map(len, own)) >= (1 - COPY_SHARE) * sum(len(text) for _, text in blocks):
+        return "\n".join(own)
+    return "\n".join(text for _, text in blocks)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 100):
             part = batch.slice(start, 100)
-            text = [extract(page or "", slot) for page, slot in zip(part["html"].to_pylist(), part["slot"].to_pylist())]
+            sides = zip(part["html"].to_pylist(), part["slot"].to_pylist(), part["texts"].to_pylist())
+            text = [extract(page or "", slot, frozenset(texts or ())) for page, slot, texts in sides]
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -350,14 +378,15 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of *pages*.
 
     Blocks of text are joined by one line feed; inside a block white space is one space and character
-    references are decoded. NULL html is empty, NULL url and url without a host share one host, repeated rows
+    references are decoded. Blocks that recur, under the same path, in three pages and half of the host's are left out, unless
+    nearly nothing else is left of a page. NULL html is empty, NULL url and url without a host share one host, repeated rows
     are read each, an empty table gives an empty result, other columns are ignored.
     """
-    known = staged(templates(pages), "templates").select(F.col("host").alias("of"), "slot")
+    known = staged(templates(pages), "templates").select(F.col("host").alias("of"), "slot", "texts")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     key = pages.schema["page_id"].dataType.simpleString()
     return (
         pages.select("page_id", "url", "html", host.alias("host")).join(known, F.col("host") == F.col("of"), "left")
-        .select("page_id", "url", "html", "slot")
+        .select("page_id", "url", "html", "slot", "texts")
         .mapInArrow(_extracted, f"page_id {key}, url string, text string, n_chars bigint")
     )

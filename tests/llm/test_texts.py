@@ -66,6 +66,19 @@ def test_only_whole_names_hide():
     assert templates.extract(f"<body><article>{prose(1, 30)}</article>{more}</body>", None) == prose(1, 30)
 
 
+def test_recurring_text_is_template(spark):
+    menu = "<div class='x1'>Start News Shop</div>"
+    rows = [(i, f"https://a.example/{i}", f"<body><article>{menu * (i > 1)}<p>{prose(i, 30)}</p><p>Same in two {i // 2}</p></article></body>") for i in range(8)]
+    rows += [(20 + i, f"https://b.example/{i}", f"<body><div>Menu of b {'and more ' * 20}</div><div><p>{prose(i, 30)}</p></div><p>All rights reserved</p></body>") for i in range(4)]
+    rows += [(30 + i, f"https://c.example/{i}", f"<body><p>{prose(1, 30)}</p><p>copy {i}</p></body>") for i in range(4)]
+    rows += [(40 + i, f"https://d.example/{i}", f"<body><p>{prose(2, 30)}</p><p>twice</p></body>") for i in range(2)]
+    got = {r.page_id: r.text for r in templates.main_text(pages(spark, rows)).collect()}
+    assert all(got[i] == f"{prose(i, 30)}\nSame in two {i // 2}" for i in range(8))
+    assert all(got[20 + i] == prose(i, 30) for i in range(4))
+    assert all(got[30 + i] == f"{prose(1, 30)}\ncopy {i}" for i in range(4))
+    assert all(got[40 + i] == f"{prose(2, 30)}\ntwice" for i in range(2))
+
+
 def test_best_fit_against_search():
     chance = random.Random(4)
     for _ in range(60):
