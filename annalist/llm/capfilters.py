@@ -4,14 +4,18 @@ A filter is a direction; a vector passes it if their inner product exceeds a lev
 product code: the rotated space is cut into blocks of dimensions, each with a small random codebook, and
 every choice of one word per block is a direction. A vector is decoded to the list of all directions it
 exceeds, without looking at the others: sums over half of the blocks are sorted and matched with the sums
-over the other half. Vectors at a small angle pass common filters; they meet there and are compared.
+over the other half. A vector passes its LEAST best filters. Vectors at a small angle pass common filters;
+they meet there and are compared.
 
 The size of the codebooks follows the number of vectors, so that a filter holds few unrelated ones at any
-scale, and the level follows from the wanted number of filters per vector.
+scale. Several codes with independent rotations are used. As a rotation is random, any pair with the cosine of
+the limit shares no filter of one code with the same probability, which is measured on random pairs for the
+dimension and codebooks at hand; the number of codes keeps its power below MISS.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -25,9 +29,10 @@ from annalist.llm.common import components, staged
 
 CUT = 0.95
 PARTS = 4
-WANTED = 32  # filters that a vector passes on average
-LEAST = 12  # filters that every vector passes: the best ones, where fewer exceed the level
-SPREAD = 16  # directions per vector in the corpus
+LEAST = 12  # filters of a code that every vector passes: the best ones
+SPREAD = 6  # directions of a code per vector in the corpus
+MISS = 1e-6  # probability that a pair at the limit is missed
+TRIALS = 2000  # random pairs that the miss probability of one code is measured on
 BLOCK = 512
 SEED = 5
 
@@ -35,15 +40,16 @@ SEED = 5
 class Code:
     """The product code for vectors of one length."""
 
-    def __init__(self, size: int, words: int):
-        random = np.random.Generator(np.random.PCG64([SEED, size, words]))
-        self.turn = np.linalg.qr(random.normal(size=(size, size)))[0]
+    def __init__(self, size: int, words: int, number: int = 0):
+        random = np.random.Generator(np.random.PCG64([SEED, size, words, number]))
+        turn, upper = np.linalg.qr(random.normal(size=(size, size)))
+        self.turn = turn * np.sign(np.diag(upper))  # so signed, rotations are uniform
         edges = np.linspace(0, size, PARTS + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(edges, edges[1:])]
         self.books = [random.normal(size=(words, p.stop - p.start)) for p in self.parts]
         self.words = words
         # Inner products with directions of normal components are normal with variance one.
-        self.level = NormalDist().inv_cdf(1 - min(0.5, WANTED / words**PARTS))
+        self.level = NormalDist().inv_cdf(1 - min(0.5, 2 * LEAST / words**PARTS))
 
     def passed(self, unit: np.ndarray) -> np.ndarray:
         """The filters of one unit vector, by number."""
@@ -62,13 +68,34 @@ class Code:
             level -= 0.15
         rows = np.repeat(np.arange(len(reach)), reach)
         columns = np.arange(found) - np.repeat(np.cumsum(reach) - reach, reach)
-        return by_left[rows] * self.words**2 + by_right[columns]
+        best = np.argsort(-(ordered_left[rows] + ordered_right[columns]), kind="stable")[:LEAST]
+        return by_left[rows[best]] * self.words**2 + by_right[columns[best]]
 
 
+def missed(size: int, words: int, cut: float, trials: int = TRIALS) -> float:
+    """An upper estimate of the probability that two vectors with cosine *cut* share no filter of one code."""
+    random = np.random.Generator(np.random.PCG64([SEED, size, words, trials]))
+    apart = 0
+    for trial in range(trials):
+        if trial % (trials // 4) == 0:
+            code = Code(size, words, 1_000_000 + trial)
+        x, y = random.normal(size=(2, size))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y = cut * x + math.sqrt(1 - cut * cut) * y / max(np.linalg.norm(y), 1e-300) if size > 1 else x
+        apart += not np.intersect1d(code.passed(x), code.passed(y)).size
+    return min(0.999, (apart + 2 * math.sqrt(apart) + 3) / trials)
 
 
-def _filtered(words: int):
-    codes: dict[int, Code] = {}
+@functools.lru_cache(maxsize=1000)
+def codes_needed(size: int, words: int, cut: float) -> int:
+    """As many codes as miss a pair at the limit with at most MISS."""
+    return math.ceil(math.log(MISS) / math.log(missed(size, words, cut)))
+
+
+def _filtered(words: int, needed: dict[int, int]):
+    """*needed*: the number of codes for vectors of each length."""
+    codes: dict[int, list[Code]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +105,11 @@ def _filtered(words: int):
                 for i, v in enumerate(part["embedding"]):
                     x = np.array(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
                     x /= np.abs(x).max()
-                    code = codes.get(len(x))
-                    if code is None:
-                        code = codes[len(x)] = Code(len(x), words)
-                    found = code.passed(x / np.linalg.norm(x))
+                    several = codes.get(len(x))
+                    if several is None:
+                        several = codes[len(x)] = [Code(len(x), words, k) for k in range(needed[len(x)])]
+                    unit = x / np.linalg.norm(x)
+                    found = np.concatenate([code.passed(unit) * len(several) + k for k, code in enumerate(several)])
                     filters.append(found * 4096 + len(x) % 4096)
                     rows.append(np.full(len(found), i))
                 take = pa.array(np.concatenate(rows))
@@ -146,9 +174,11 @@ def linked(vectors: DataFrame, cut: float = CUT) -> DataFrame:
     one_each, kinds = staged(one_each, "vectors"), staged(kinds, "vector-kinds")
     count = kinds.count()
     words = max(16, math.ceil((SPREAD * max(count, 1)) ** (1 / PARTS)))
+    lengths = [r.size for r in kinds.select(F.size("embedding").alias("size")).distinct().collect()]
+    needed = {size: codes_needed(size, words, cut) for size in lengths}
     members = staged(
         kinds.select(F.col("first").alias("vec_id"), "embedding")
-        .mapInArrow(_filtered(words), "filter bigint, vec_id bigint, embedding " + rows.schema["embedding"].dataType.simpleString()),
+        .mapInArrow(_filtered(words, needed), "filter bigint, vec_id bigint, embedding " + rows.schema["embedding"].dataType.simpleString()),
         "vector-filters",
     )
     sizes = members.groupBy("filter").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"), F.count(F.lit(1)).alias("size"))

@@ -162,6 +162,16 @@ def test_cap_filters_in_small_blocks(spark, monkeypatch):
     assert [r.n_links for r in sorted(got)] == expected.tolist()
 
 
+def test_codes_keep_the_miss_bound():
+    random = np.random.default_rng(8)
+    for size, words in ((2, 16), (8, 16), (32, 16), (64, 24)):
+        several = [capfilters.Code(size, words, k) for k in range(capfilters.codes_needed(size, words, 0.95))]
+        for _ in range(200):
+            x, y = np.linalg.qr(random.normal(size=(size, 2)))[0].T
+            y = 0.95 * x + np.sqrt(1 - 0.95**2) * y
+            assert any(set(code.passed(x).tolist()) & set(code.passed(y).tolist()) for code in several)
+
+
 def test_cap_filters_of_nothing(spark):
     assert capfilters.linked(vectors(spark, [])).collect() == []
 
