@@ -63,8 +63,8 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, line, keys = _keys(data, offsets)
             ids = batch["doc_id"].slice(first, last - first).take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(line.astype(np.int32)), *[pa.array(keys[:, i].copy().view(np.int64)) for i in range(3)]],
-                ["doc_id", "line", "k0", "k1", "k2"],
+                [ids, batch["of"].slice(first, last - first).take(pa.array(rows)), pa.array(line.astype(np.int32)), *[pa.array(keys[:, i].copy().view(np.int64)) for i in range(3)]],
+                ["doc_id", "of", "line", "k0", "k1", "k2"],
             )
 
 
@@ -77,34 +77,37 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, drop): for every document of *docs* with such lines, the sorted numbers (from 0, cut at
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by_text: bool = False) -> DataFrame:
+    """(doc_id, of, drop): for every document of *docs* with such lines, the sorted numbers (from 0, cut at
     line feeds) of the lines to drop.
 
     Lines of fewer than five tokens are never dropped and never counted; halves are templates from eight
     tokens on. A document's own repeats count once. Rows of one doc_id are one document with the lines of
-    all its rows; rows without doc_id are left out. NULL text has no lines, an empty table gives an empty
+    all its rows; rows without doc_id are left out. With *by_text* rows of different texts have line numbers
+    of their own, and ``of`` is the hash of the text; else it is 0 and line numbers hold for all rows of a
+    doc_id. NULL text has no lines, an empty table gives an empty
     result, other columns are ignored.
     """
     lines = staged(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-        .mapInArrow(_lines, "doc_id bigint, line int, k0 bigint, k1 bigint, k2 bigint"),
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.xxhash64("text") if by_text else F.lit(0).cast("bigint")).alias("of"))
+        .filter("doc_id IS NOT NULL")
+        .mapInArrow(_lines, "doc_id bigint, of bigint, line int, k0 bigint, k1 bigint, k2 bigint"),
         "logtree-lines",
     )
     recurring = staged(templates(lines, min_docs), "logtree-templates")
-    keyed = lines.select("doc_id", "line", F.explode(F.array("k0", "k1", "k2")).alias("key")).filter("key <> 0")
+    keyed = lines.select("doc_id", "of", "line", F.explode(F.array("k0", "k1", "k2")).alias("key")).filter("key <> 0")
     return (
         keyed.join(recurring, "key").filter("doc_id <> first_doc")
-        .groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+        .groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line")).alias("drop"))
     )
 
 
 def without_repeats(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """*docs* with their texts freed of recurring lines; rows left without a word are dropped if lines
     were taken from them. ``n_chars`` follows the text where there is such a column."""
-    key, drop = unused(docs, "drop_id"), unused(docs, "drop_lines")
-    dropped = repeated_lines(docs, min_docs).select(F.col("doc_id").alias(key), F.col("drop").alias(drop))
-    joined = docs.join(dropped, docs["doc_id"] == dropped[key], "left")
+    key, drop, of = unused(docs, "drop_id"), unused(docs, "drop_lines"), unused(docs, "drop_of")
+    dropped = repeated_lines(docs, min_docs, by_text=True).select(F.col("doc_id").alias(key), F.col("of").alias(of), F.col("drop").alias(drop))
+    joined = docs.join(dropped, (docs["doc_id"] == dropped[key]) & (F.xxhash64(docs["text"]) == dropped[of]), "left")
 
     def rest(lines):
         places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))

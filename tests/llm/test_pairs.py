@@ -124,6 +124,13 @@ def test_templates_drop_emptied_rows_and_nothing_else(spark):
     assert logtree.without_repeats(docs(spark, [])).collect() == []
 
 
+def test_rows_of_one_document_lose_their_own_lines(spark):
+    line = "this very line stands in many documents"
+    rows = [(i, line, "en", "a") for i in range(4)] + [(3, prose(1, 20), "en", "a"), (3, f"{prose(2, 9)}\n{line}", "en", "a")]
+    out = sorted((r.doc_id, r.text) for r in logtree.without_repeats(docs(spark, rows)).collect())
+    assert out == sorted([(0, line), (3, prose(1, 20)), (3, prose(2, 9))])
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, 1, 1) for i, v in rows], "vec_id bigint, embedding array<float>, label int, first int, filter int")
 
