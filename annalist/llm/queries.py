@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import capfilters, crossparse, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
+from annalist.llm import capfilters, crossparse, fitplan, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -77,3 +77,10 @@ def op9_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_fit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fitplan.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset",
+    )
