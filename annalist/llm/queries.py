@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import capfilters, crossparse, fitplan, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
+from annalist.llm import alignment, capfilters, crossparse, fitplan, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -79,6 +79,13 @@ def op10_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op12_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(
+        table(spark, sf_dir, "documents"), groups=lambda c: F.when(c == "", "").otherwise(F.sha2(c, 256)),
+    ).withColumnRenamed("groups", "groups_sha256")
+
+
 @query()
 def op13_fit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitplan.pack(table(spark, sf_dir, "documents")).select(
