@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import alignment, capfilters, crossparse, fitplan, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
+from annalist.llm import alignment, capfilters, crossparse, fitplan, hardneg, logtree, mixture, packing, partenum, quality, secretscan, templates, transducer
 
 QUERIES = {}
 CHECKS = {}
@@ -79,6 +79,13 @@ def op10_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(table(spark, sf_dir, "documents"))
 
 
+@query(hardneg.check_sql())
+def op11_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, label = F.col("vec_id"), F.col("label")
+    moved = F.when(number % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardneg.mine(hardneg.whole_vectors(table(spark, sf_dir, "embeddings"), moved, number % 100 == 0))
+
+
 @query()
 def op12_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(
