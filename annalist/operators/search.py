@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -159,6 +160,16 @@ def keyword_scores(docs: DataFrame, query: str, columns: list[str] = DOCUMENT) -
         *[F.count_if(F.col(n) > 0).alias(f"d{n}") for n in names],
     )
     matching = reduce(lambda a, b: a & b, [F.col(n) > 0 for n in names])
+    return (
+        counted.filter(matching)
+        .join(F.broadcast(statistics))  # one row
+        .select(*docs.columns, bm25(names).alias("score"))
+    )
+
+
+def bm25(names: list[str]) -> Column:
+    """Score of a row with the frequencies *names* and ``length``, the statistics ``n_docs`` and ``mean_length``,
+    and how many documents hold each term, ``d`` before its name."""
     parts = []
     for n in names:
         with_term = F.col(f"d{n}")
@@ -166,12 +177,7 @@ def keyword_scores(docs: DataFrame, query: str, columns: list[str] = DOCUMENT) -
         weight = F.when(rarity > 0, rarity).otherwise(F.lit(1e-6))
         length = F.lit(1 - B) + B * F.col("length") / F.col("mean_length")
         parts.append(weight * F.col(n) * (K1 + 1) / (F.col(n) + K1 * length))
-    score = reduce(lambda a, b: a + b, parts)
-    return (
-        counted.filter(matching)
-        .join(F.broadcast(statistics))  # one row
-        .select(*docs.columns, score.alias("score"))
-    )
+    return reduce(lambda a, b: a + b, parts)
 
 
 def keyword_search(
@@ -293,8 +299,10 @@ def hybrid_search(
     limit: int = 20,
     type_filter: str | None = None,
     weights: tuple[float, float] = (0.5, 0.5),
+    keyword: Callable[[str, int, str | None], DataFrame] | None = None,
 ) -> DataFrame:
-    """Keyword and vector hits fused by rank and cosine.
+    """Keyword and vector hits fused by rank and cosine. *keyword* (query, limit, type) lists the keyword hits,
+    for instance from a stored index; by default the documents are searched.
 
     After the two top-k searches there are at most ``6 * limit`` rows, so the windows
     without a partition key and the joins below are small by construction.
@@ -302,7 +310,8 @@ def hybrid_search(
     fetch = 3 * limit
     key = ["type", "name", "file_path"]
     exact_order = [F.desc("score"), *[F.col(c) for c in [*key, "detail", "content"]]]
-    exact = keyword_search(h.search_index, query, fetch, type_filter).withColumn(
+    hits = keyword(query, fetch, type_filter) if keyword else keyword_search(h.search_index, query, fetch, type_filter)
+    exact = hits.withColumn(
         "exact_rank", F.row_number().over(Window.orderBy(*exact_order))
     )
     # several documents may share a key: the last of them counts

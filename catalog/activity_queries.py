@@ -184,11 +184,11 @@ _TEST = " OR ".join(f"{{}} ILIKE '{p}'" for p in paths.TEST_PATTERNS)
 
 
 @over("function_changes", sql=f"""
+    WITH changes AS MATERIALIZED (SELECT *, {_TEST.format(*["file_path"] * 4)} AS is_test FROM h_function_changes),
+    tested AS MATERIALIZED (SELECT DISTINCT commit_hash FROM changes WHERE is_test)
     SELECT function_name, file_path, commit_hash, change_type, author, "timestamp", message
-    FROM h_function_changes c
-    WHERE NOT ({_TEST.format(*["file_path"] * 4)})
-      AND commit_hash NOT IN (SELECT commit_hash FROM h_function_changes
-                              WHERE {_TEST.format(*["file_path"] * 4)})""")
+    FROM changes c
+    WHERE NOT is_test AND NOT EXISTS (SELECT 1 FROM tested t WHERE t.commit_hash = c.commit_hash)""")
 def untested_changes(h):
     return activity.untested_changes(h, limit=None)
 

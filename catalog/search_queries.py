@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.functions import text
-from annalist.operators import search
+from annalist.operators import postings, search
+from annalist.session import shared_folder
 from annalist.sources import tables
 from catalog.registry import direct, over
 from catalog.views import history, read
@@ -129,20 +130,39 @@ def keyword_corpus(spark, sf_dir):
 
 
 _ALL = ["type", "name", "file_path", "author", "content", "detail"]
+_indexes: dict[tuple[str, str], str] = {}
 
 
-@over("search_index", sql=_bm25_sql(
-    "h_search", _ALL, [["fix"], ["red", "widget"]], ", ".join(_ALL)))
-def keyword_all(h):
-    scored = search.keyword_scores(h.search_index, "fix red_widget")
+def stored_index(spark, sf_dir) -> postings.Index:
+    """The index over all search documents of a sample, built by the first query of a session that asks for it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        root = shared_folder(spark, "search-index")
+        postings.build(history(spark, sf_dir, "search_index").search_index, root)
+        _indexes[key] = root
+    return postings.load(spark, _indexes[key])
+
+
+@direct(sql=r"""
+    WITH t AS (SELECT row_number() OVER () AS doc, unnest(regexp_extract_all(strip_accents(lower(concat_ws(chr(10),
+                   coalesce(type, ''), coalesce(name, ''), coalesce(file_path, ''), coalesce(author, ''), coalesce(content, ''),
+                   coalesce(detail, '')))), '[\p{L}\p{N}]+')) AS term FROM h_search)
+    SELECT term, count(DISTINCT doc) AS documents, count(*) AS occurrences FROM t GROUP BY 1""")
+def index_terms(spark, sf_dir):
+    return postings.terms(stored_index(spark, sf_dir))
+
+
+@direct(sql=_bm25_sql("h_search", _ALL, [["fix"], ["red", "widget"]], ", ".join(_ALL)))
+def keyword_all(spark, sf_dir):
+    scored = postings.keyword_scores(stored_index(spark, sf_dir), "fix red_widget")
     return scored.withColumn("score", F.round("score", 6))
 
 
-@over("search_index", sql="SELECT * FROM (" + _bm25_sql(
+@direct(sql="SELECT * FROM (" + _bm25_sql(
     "h_search", _ALL, [["small"], ["ring"]], ", ".join(_ALL)) + """)
     WHERE type = 'function' ORDER BY score DESC, type, name, file_path, detail, content LIMIT 20""")
-def keyword_search(h):
-    hits = search.keyword_search(h.search_index, "small ring", type_filter="function")
+def keyword_search(spark, sf_dir):
+    hits = postings.keyword_search(stored_index(spark, sf_dir), "small ring", type_filter="function")
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -230,9 +250,11 @@ _HYBRID = f"""
 
 @direct(sql=_HYBRID.format(keyword=_bm25_sql("h_search", _ALL, [["small"], ["ring"]], ", ".join(_ALL))))
 def hybrid_search(spark, sf_dir):
-    h = history(spark, sf_dir, "search_index", "embeddings", "functions", "commits")
+    h = history(spark, sf_dir, "embeddings", "functions", "commits")
+    index = stored_index(spark, sf_dir)
     hits = search.hybrid_search(
-        h, "small ring", _query_vector(spark, sf_dir), weights=(0.6, 0.4)
+        h, "small ring", _query_vector(spark, sf_dir), weights=(0.6, 0.4),
+        keyword=lambda query, limit, type_: postings.keyword_search(index, query, limit, type_),
     )
     return hits.withColumns({c: F.round(c, 6) for c in ["score", "cosine"]})
 
