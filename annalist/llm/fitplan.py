@@ -12,27 +12,31 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.common import staged, text_chunks
+from annalist.llm.transducer import byte_names
 from annalist.session import cut
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
 END = 1  # the id behind every document
 SEGMENT = 1 << 20  # bytes of a text that are split into words at once
-WORDS = 200_000  # remembered words of a worker, each of at most LONG bytes
+WORDS = 150_000  # remembered words of a generation, each of at most LONG bytes
 LONG = 64
 SLOTS = 1 << 16  # slots that one row of the plan becomes at once
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+# The pieces of the vocabulary's file, in lower case and for the signs of PLAIN.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 _RUN = "length bigint, rank bigint, n bigint, sequence bigint, each bigint, at bigint"
 
@@ -43,11 +47,37 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _raw(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Remembered:
+    """A bounded memory of bytes in two generations: what is asked for again outlives the rest."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value: bytes) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """Ids of whole texts by the tokenizer library, word by word.
 
     The tokenizer drops white space and no piece, normal form or special token of it reaches over one of the
-    six ASCII blanks, so the ids of a text are those of its words one after the other.
+    six ASCII blanks, so the ids of a text are those of its words one after the other. Words of ASCII signs and
+    Latin-1 letters have no normal form but lower case; their pieces go to the library's model at once. All
+    other words, and those that may hold a special token, go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -57,29 +87,44 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.seen: dict[bytes, bytes] = {}
+        self.model = self.library.model
+        self.byte = dict(enumerate(byte_names()))
+        self.words, self.pieces = Remembered(WORDS), Remembered(WORDS)
+
+    def _piece(self, piece: str) -> bytes:
+        raw = self.pieces.get(piece)
+        if raw is None:
+            shown = piece if piece.isascii() else "".join(map(self.byte.__getitem__, piece.encode()))
+            raw = _raw([token.id for token in self.model.tokenize(shown)])
+            if len(piece) <= LONG:
+                self.pieces.put(piece, raw)
+        return raw
 
     def _word(self, word: bytes) -> bytes:
-        ids = self.library.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        raw = np.array(ids, dtype="<u4").tobytes()
+        text = word.decode("utf-8")
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            raw = b"".join(map(self._piece, PIECE.findall(text.lower())))
+        else:
+            raw = _raw(self.library.encode(text, add_special_tokens=False).ids)
         if len(word) <= LONG:
-            if len(self.seen) >= WORDS:
-                self.seen.clear()
-            self.seen[word] = raw
+            self.words.put(word, raw)
         return raw
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of UTF-8 *text*."""
-        out, at, seen = [], 0, self.seen
+        out, at = [], 0
         while at < len(text):
             end = at + SEGMENT
             if end < len(text):
                 blank = _BLANK.search(text, end)
                 end = blank.start() if blank else len(text)
-            parts = []
-            for word in text[at:end].split():
-                known = seen.get(word)
-                parts.append(self._word(word) if known is None else known)
+            words = text[at:end].split()
+            parts = list(map(self.words.young.get, words))
+            if None in parts:
+                for i, word in enumerate(words):
+                    if parts[i] is None:
+                        known = self.words.get(word)
+                        parts[i] = self._word(word) if known is None else known
             out.append(b"".join(parts))
             at = end
         return b"".join(out)
@@ -93,7 +138,7 @@ def _pieces(path: str, length: int, batches: Iterator[pa.RecordBatch]) -> Iterat
         _encoders[path] = Encoder(path)
     encoder = _encoders[path]
     part, counts = TaskContext.get().partitionId(), [0] * (length + 1)
-    end = np.array([END], dtype="<u4").tobytes()
+    end = _raw([END])
     for batch in batches:
         for first, last, data, offsets in text_chunks(batch["text"]):
             raw = data.tobytes()
@@ -181,8 +226,9 @@ def slots(runs: DataFrame) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """Every piece of *docs* with its place: doc_id, piece, start, length, ids, sequence_id, offset.
+def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None, ids: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Every piece of *docs* with its place: doc_id, piece, start, length, ids or what the function *ids* makes of
+    them, sequence_id, offset.
 
     A document is its ids and the id 1; one of more than *length* ids is cut into pieces of *length*, the last
     one shorter. ``ids`` are little-endian 32-bit numbers. A sequence has no gap and at most *length* ids, and
@@ -193,7 +239,7 @@ def pack(docs: DataFrame, length: int = LENGTH, path: str | None = None) -> Data
     empty table gives an empty result; other columns are ignored. The file at *path* must exist on every executor.
     """
     path = path or vocabulary_path()
-    found = staged(pieces(docs, path, length), "fitplan-pieces")
+    found = staged(pieces(docs, path, length).withColumn("ids", ids(F.col("ids"))), "fitplan-pieces")
     here = cut(found.groupBy("part", "length").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in here.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = docs.sparkSession.createDataFrame(plan(counts, length), _RUN)

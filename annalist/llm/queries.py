@@ -95,6 +95,5 @@ def op12_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op13_fit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitplan.pack(table(spark, sf_dir, "documents")).select(
-        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset",
-    )
+    packed = fitplan.pack(table(spark, sf_dir, "documents"), ids=F.crc32).withColumnRenamed("ids", "ids_crc32")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

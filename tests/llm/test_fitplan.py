@@ -59,14 +59,14 @@ def test_plan_does_not_grow_with_counts():
     assert len(large) < 3 * len(small) and sum(r[2] for r in large) == 10**9 * sum(counts.values())
 
 
-ODD = ["Hello WORLD's  it's x\n\n1234", "<|endoftext|>a <|startoftext|> <|ENDOFTEXT|>", "é ́ ﬁ ½ İ Σας ΣΑΣ", "हिन्दी 中文\x1cab\x85c", "\U0001f600‍ x\u0000y", " ", "don't'S 'll'"]
+ODD = ["ÀÉß÷×ÿ Ærø¿½ª µ DON'T'RE'x <|b| a<|c Ÿ ĳ ", "Hello WORLD's  it's x\n\n1234", "<|endoftext|>a <|startoftext|> <|ENDOFTEXT|>", "é ́ ﬁ ½ İ Σας ΣΑΣ", "हिन्दी 中文\x1cab\x85c", "\U0001f600‍ x\u0000y", " ", "don't'S 'll'"]
 
 
 def test_words_encode_like_the_whole_text():
     path = fitplan.vocabulary_path()
     library, mine = Tokenizer.from_file(path), fitplan.Encoder(path)
     draw = random.Random(3)
-    signs = list(" \t\n\r\x0b\x0c'sSabA1.<|>") + ["́", "̸", "é", "Σ", "İ", "中", " ", " ", "\x1c", "͸", "ᅠ", "가", "<|endoftext|>"]
+    signs = list(" \t\n\r\x0b\x0c'sSabA1.<|>") + ["́", "̸", "é", "É", "ß", "'RE", "'ll", "×", "µ", "9", "Σ", "İ", "中", " ", " ", "\x1c", "͸", "ᅠ", "가", "<|endoftext|>"]
     texts = ODD + [prose(1, 900)] + ["".join(draw.choices(signs, k=draw.randint(1, 40))) for _ in range(3000)]
     for text in texts:
         got = np.frombuffer(mine.encode(text.encode()), dtype="<u4").tolist()
