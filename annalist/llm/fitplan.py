@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
 END = 1  # the id behind every document
 SEGMENT = 1 << 20  # bytes of a text that are split into words at once
-WORDS = 150_000  # remembered words of a generation, each of at most LONG bytes
+WORDS = 250_000  # remembered words of a generation, each of at most LONG bytes
 LONG = 64
 SLOTS = 1 << 16  # slots that one row of the plan becomes at once
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
