@@ -7,6 +7,7 @@ integer arrays per file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -53,7 +54,6 @@ GRAMMARS: dict[str, list[tuple[str, int, int]]] = {
     "c": _C,
     "cpp": _C,
 }
-BRACE_STEP = 1000  # lines that are looked at first for a closing brace; twice as many each time after
 
 _UNICODE = "(?U)"
 _STRINGS = [
@@ -87,62 +87,59 @@ def _balance(clean: Column) -> Column:
     return F.length(F.translate(clean, "}", "")) - F.length(F.translate(clean, "{", ""))
 
 
-def _defines(language: Column, line: Column) -> Column:
-    column = F.lit(False)
-    for name, patterns in GRAMMARS.items():
-        hits = [line.rlike(_UNICODE + pattern) for pattern, _, _ in patterns]
-        column = F.when(language == name, reduce(lambda a, b: a | b, hits)).otherwise(column)
+def _by_language(language: Column, make: Callable[[str], Column]) -> Column:
+    """What *make* gives for the language of the row, chosen once a row."""
+    first, *rest = GRAMMARS
+    column = F.when(language == first, make(first))
+    for name in rest:
+        column = column.when(language == name, make(name))
     return column
 
 
-def _by_language(language: Column, values: dict[str, object]) -> Column:
-    entries = [F.lit(v) for pair in values.items() for v in pair]
-    return F.try_element_at(F.create_map(*entries), language)
+def _found(name: str, lines: Column) -> Column:
+    """Numbers, from 0, of the lines that define something in language *name*."""
+    def defines(line: Column) -> Column:
+        return reduce(lambda a, b: a | b, [line.rlike(_UNICODE + p) for p, _, _ in GRAMMARS[name]])
 
+    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: defines(lines[i]))
 
-def _named(language: Column, line: Column) -> Column:
-    """``struct<name, kind>`` of the first pattern that matches the line."""
-    found = []
-    for place in range(2):
-        tried = {name: p[place] for name, p in GRAMMARS.items() if len(p) > place}
-        pattern = _by_language(language, {name: _UNICODE + p for name, (p, _, _) in tried.items()})
-        for number, kind in enumerate(["function", "class"], 1):
-            group = _by_language(language, {name: p[number] for name, p in tried.items()})
-            name = F.call_function("regexp_extract", line, pattern, group)
-            found.append(F.struct(F.when(group > 0, name).alias("name"), F.lit(kind).alias("kind")))
-    return F.filter(F.array(*found), lambda f: f["name"] != "")[0]
 
+def _named(name: str, line: Column) -> Column:
+    """``struct<name, kind>`` of the first pattern of language *name* that matches the line."""
+    tried = [
+        F.struct(F.regexp_extract(line, _UNICODE + pattern, group).alias("name"), F.lit(kind).alias("kind"))
+        for pattern, *groups in GRAMMARS[name]
+        for kind, group in zip(["function", "class"], groups)
+        if group
+    ]
+    return F.filter(F.array(*tried), lambda f: f["name"] != "")[0]
 
-def _indented_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
+
+def _after(places: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The first of *places* behind each of *at*, or *none*."""
+    return np.append(places, none)[np.searchsorted(places, at, "right")]
+
+
+def _indented_ends(levels: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Last line with text before the next line that is not indented deeper."""
     filled = np.flatnonzero(levels >= 0)
-    depth = levels[filled].tolist()
-    following = [len(filled)] * len(filled)
-    open_lines: list[int] = []
-    for position, level in enumerate(depth):
-        while open_lines and depth[open_lines[-1]] >= level:
-            following[open_lines.pop()] = position
-        open_lines.append(position)
-    at = np.searchsorted(filled, starts)
-    return [int(filled[following[i] - 1]) + 1 for i in at.tolist()]
-
-
-def _braced_ends(levels: np.ndarray, starts: np.ndarray) -> list[int]:
+    depth, at = levels[filled], np.searchsorted(filled, starts)
+    following = np.empty(len(at), dtype=np.int64)
+    for level in np.unique(depth[at]):
+        mine = depth[at] == level
+        following[mine] = _after(np.flatnonzero(depth <= level), at[mine], len(filled))
+    return filled[following - 1] + 1
+
+
+def _braced_ends(levels: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """First line where every brace opened since the start is closed again."""
     depth = np.cumsum(levels)
-    ends = []
-    for start in starts.tolist():
-        step = BRACE_STEP
-        while True:
-            stop = min(start + step, len(levels))
-            inside = depth[start:stop] - (depth[start] - levels[start])
-            opened = np.maximum.accumulate(inside) > 0
-            closed = np.flatnonzero(opened & (inside <= 0))
-            if len(closed) or stop == len(levels):
-                break
-            step *= 2
-        ends.append(int(start + closed[0] + 1) if len(closed) else stop)
-    return ends
+    base, ends = depth[starts] - levels[starts], np.empty(len(starts), dtype=np.int64)
+    for level in np.unique(base):
+        mine = base == level
+        opened = _after(np.flatnonzero(depth > level), starts[mine] - 1, len(depth))
+        ends[mine] = _after(np.flatnonzero(depth <= level), opened, len(depth) - 1)
+    return ends + 1
 
 
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -151,74 +148,85 @@ def _block_ends(levels: pa.Array, starts: pa.Array, braces: pa.Array) -> pa.Arra
     level_at, start_at = levels.offsets.to_numpy(), starts.offsets.to_numpy()
     level_values = levels.values.to_numpy(zero_copy_only=False)
     start_values = starts.values.to_numpy(zero_copy_only=False)
-    ends: list[int] = []
+    ends = [np.empty(0, dtype=np.int64)]
     for i, braced in enumerate(braces.to_pylist()):
         level = level_values[level_at[i] : level_at[i + 1]]
         start = start_values[start_at[i] : start_at[i + 1]]
-        ends += (_braced_ends if braced else _indented_ends)(level, start)
+        if len(start):
+            ends.append((_braced_ends if braced else _indented_ends)(level, start))
     offsets = pa.array(start_at - start_at[0], pa.int32())
-    return pa.ListArray.from_arrays(offsets, pa.array(ends, pa.int32()))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ends), pa.int32()))
 
 
-def parse(files: DataFrame, keys: list[str], content: str, with_body: bool = False) -> DataFrame:
-    """One row per definition of *content*: *keys*, language, name, kind, lines, signature.
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """*df* with *columns*. They pass a generator, which keeps them from being repeated by every expression that
+    reads them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
-    *with_body* adds ``body_hash`` and ``body_length`` of the definition's lines.
+
+def with_definitions(files: DataFrame, texts: list[str], body: bool = False, text: bool = False) -> DataFrame:
+    """*files* with an array column ``<text>_defs`` for every text column, without those columns; files in no
+    known language are left out.
+
+    A definition is a struct of name, kind, start_line, end_line and signature; with *body* also body_hash and
+    body_length of its lines, with *text* the lines themselves. Everything is computed inside the row.
     """
-    source = files.select(
-        *keys,
-        paths.language_of(F.col("file_path")).alias("language"),
-        F.col(content).alias("content"),
-    ).filter(F.col("language").isNotNull() & F.col("content").rlike(r"(?U)\S"))
+    kept = [c for c in files.columns if c not in texts and c != "language"]
+    source = files.withColumn("language", paths.language_of(F.col("file_path"))).filter("language IS NOT NULL")
     language = F.col("language")
-    # a generator keeps the split from being repeated by every expression that reads it
-    split = source.select(
-        *keys, "language", F.inline(F.array(F.struct(F.split("content", "\n").alias("lines"))))
-    )
-    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    measured = split.select(
-        *keys,
-        "language",
-        "lines",
-        F.filter(numbered, lambda s: _defines(language, s["line"])).alias("found"),
-    ).filter(F.size("found") > 0)
-    levels = F.when(language == "python", F.transform("lines", _indent)).otherwise(
-        F.transform(F.transform("lines", _without_strings), _balance)
-    )
-    ended = measured.withColumn(
-        "ends", _block_ends(levels, F.col("found.at"), language != "python")
-    )
-    body = {}
-    if with_body:
-        body = {
-            "body": lambda z: F.array_join(
-                F.slice("lines", z["found"]["at"] + 1, z["ends"] - z["found"]["at"]), "\n"
+    split = once(source, {f"{c}_lines": F.split(F.coalesce(c, F.lit("")), "\n") for c in texts}).drop(*texts)
+
+    def each(suffix: str, make: Callable[[str], Column]) -> dict[str, Column]:
+        return {f"{c}_{suffix}": make(c) for c in texts}
+
+    def found(c: str) -> Column:
+        return _by_language(language, lambda name: _found(name, F.col(f"{c}_lines")))
+
+    def ends(c: str) -> Column:
+        levels = F.when(language == "python", F.transform(f"{c}_lines", _indent)).otherwise(
+            F.transform(F.transform(f"{c}_lines", _without_strings), _balance)
+        )
+        none = F.array().cast("array<int>")
+        return _block_ends(F.when(F.size(f"{c}_found") > 0, levels).otherwise(none), F.col(f"{c}_found"), language != "python")
+
+    def definitions(c: str) -> Column:
+        every = F.col(f"{c}_lines")
+
+        def cut_out(z: Column) -> Column:
+            at, end = z[f"{c}_found"], z[f"{c}_ends"]
+            line = every[at]
+            return F.struct(
+                at.alias("at"), end.alias("end"), line.alias("line"), _by_language(language, lambda name: _named(name, line)).alias("named"),
+                *([F.array_join(F.slice(every, at + 1, end - at), "\n").alias("own")] if body or text else []),
             )
-        }
-    definitions = F.transform(
-        F.arrays_zip("found", "ends"),
-        lambda z: F.struct(
-            (z["found"]["at"] + 1).alias("start_line"),
-            z["ends"].alias("end_line"),
-            z["found"]["line"].alias("line"),
-            *[
-                part
-                for make in body.values()
-                for part in (
-                    F.sha2(make(z), 256).alias("body_hash"),
-                    F.length(make(z)).alias("body_length"),
-                )
-            ],
-        ),
-    )
-    rows = ended.select(*keys, "language", F.inline(definitions))
-    named = rows.withColumn("def", _named(language, F.col("line"))).select(
-        *keys, "language", "def.name", "def.kind", "start_line", "end_line",
-        stripped(F.col("line")).alias("signature"),
-        *(["body_hash", "body_length"] if with_body else []),
+
+        def described(d: Column) -> Column:
+            parts = [d["named"]["name"].alias("name"), d["named"]["kind"].alias("kind"), (d["at"] + 1).alias("start_line")]
+            parts += [d["end"].alias("end_line"), stripped(d["line"]).alias("signature")]
+            if body:
+                parts += [F.sha2(d["own"], 256).alias("body_hash"), F.length(d["own"]).alias("body_length")]
+            return F.struct(*parts, *([d["own"].alias("body")] if text else []))
+
+        def is_definition(d: Column) -> Column:
+            return ~((language == "java") & (d["named"]["kind"] == "function") & d["named"]["name"].isin(JAVA_KEYWORDS))
+
+        # one step after the other, each value computed once
+        return F.transform(F.filter(F.transform(F.arrays_zip(f"{c}_found", f"{c}_ends"), cut_out), is_definition), described)
+
+    located = once(split, each("found", found))
+    ended = located.withColumns(each("ends", ends))
+    return once(ended.select(*kept, "language", *[f"{c}_{s}" for c in texts for s in ("lines", "found", "ends")]), each("defs", definitions)).select(
+        *kept, "language", *[f"{c}_defs" for c in texts]
     )
-    keyword = (language == "java") & (F.col("kind") == "function") & F.col("name").isin(JAVA_KEYWORDS)
-    return named.filter(~keyword)
+
+
+def parse(files: DataFrame, keys: list[str], content: str, with_body: bool = False) -> DataFrame:
+    """One row per definition of *content*: *keys*, language, name, kind, lines, signature.
+
+    *with_body* adds ``body_hash`` and ``body_length`` of the definition's lines.
+    """
+    source = files.select(*keys, F.col(content).alias("content"))
+    return with_definitions(source, ["content"], with_body).select(*keys, "language", F.inline("content_defs"))
 
 
 def head_functions(h: History) -> DataFrame:
