@@ -77,6 +77,18 @@ def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
 
 
+def _perhaps(keyed: DataFrame, recurring: DataFrame) -> DataFrame:
+    """The rows of *keyed* whose key may be in *recurring*: a filter of fixed size, 2**22 bits in at most 2**16
+    rows, meets them before anything is shuffled. What passes by chance falls out in the exact join behind it."""
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 22))
+    one = F.lit(1).cast("bigint")
+    bits = recurring.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", one, (place % 64).cast("int"))).alias("bits")
+    )
+    met = keyed.join(F.broadcast(bits), F.shiftright(place, 6) == F.col("word"))
+    return met.filter(F.call_function("shiftright", F.col("bits"), (place % 64).cast("int")).bitwiseAND(one) == 1).select(*keyed.columns)
+
+
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by_text: bool = False) -> DataFrame:
     """(doc_id, of, drop): for every document of *docs* with such lines, the sorted numbers (from 0, cut at
     line feeds) of the lines to drop.
@@ -97,7 +109,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by_text: bool = Fa
     recurring = staged(templates(lines, min_docs), "logtree-templates")
     keyed = lines.select("doc_id", "of", "line", F.explode(F.array("k0", "k1", "k2")).alias("key")).filter("key <> 0")
     return (
-        keyed.join(recurring, "key").filter("doc_id <> first_doc")
+        _perhaps(keyed, recurring).join(recurring, "key").filter("doc_id <> first_doc")
         .groupBy("doc_id", "of").agg(F.sort_array(F.collect_set("line")).alias("drop"))
     )
 
