@@ -7,13 +7,12 @@ import tomllib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalist.functions import paths
-from annalist.operators.changes import both_sides
-from annalist.operators.definitions import stripped
+from annalist.operators.definitions import once, stripped
 from annalist.operators.lookup import newest_commits
 from annalist.schema import History
 
@@ -42,26 +41,41 @@ def _versions(h: History, wanted: Column, max_commits: int | None) -> tuple[Data
     )
 
 
-def _differences(entries: DataFrame, item: str, labels: dict[str, str]) -> DataFrame:
-    """Compare the sides of every (commit, file, item); a repeated item keeps its last value.
+def _differences(sides: DataFrame, item: str, labels: dict[str, str]) -> DataFrame:
+    """Compare ``before_entries`` and ``after_entries`` (key, value) of every row, inside the row; a repeated key
+    keeps its last value. Both sides are sorted together, so the two values of a key are neighbours."""
+    def side(name: str, number: int) -> Column:
+        return F.transform(
+            f"{name}_entries",
+            lambda e, i: F.struct(e["key"].alias("key"), F.lit(number).alias("side"), i.alias("place"), e["value"].alias("value")),
+        )
 
-    *entries* has side, *item*, value and place. Sides meet in one grouping, with the values
-    of a file already reduced on the map side.
-    """
-    def value(side: str) -> Column:
-        here = F.col("side") == side
-        return F.max_by("value", F.when(here, F.col("place"))).alias(f"{side}_value")
+    def beside(array: str, i: Column, step: int) -> Column:
+        return F.get(F.col(array), i + step)
 
-    sides = entries.groupBy(*_AT, item).agg(value("before"), value("after"))
-    old, new = F.col("before_value"), F.col("after_value")
-    change = (
-        F.when(old.isNull(), labels["added"])
-        .when(new.isNull(), labels["removed"])
-        .when(old != new, labels["changed"])
-    )
-    return sides.select(
-        *_AT, item, change.alias("change_type"), old.alias("old"), new.alias("new")
-    ).filter(F.col("change_type").isNotNull())
+    def same_key(a: Column, b: Column) -> Column:
+        return F.coalesce(a["key"] == b["key"], F.lit(False))
+
+    def last(e: Column, i: Column) -> Column:
+        following = beside("sorted", i, 1)
+        return ~(same_key(e, following) & F.coalesce(e["side"] == following["side"], F.lit(False)))
+
+    def changed(e: Column, i: Column) -> Column:
+        following = beside("named", i, 1)
+        both = (e["side"] == 0) & same_key(e, following)
+        change = (
+            F.when(both, F.when(e["value"] != following["value"], F.lit(labels["changed"])))
+            .when(e["side"] == 0, labels["removed"])
+            .when(~same_key(e, beside("named", i, -1)), labels["added"])
+        )
+        old, new = F.when(e["side"] == 0, e["value"]), F.when(both, following["value"]).when(e["side"] == 1, e["value"])
+        return F.struct(e["key"].alias(item), change.alias("change_type"), old.alias("old"), new.alias("new"))
+
+    together = F.array_sort(F.concat(side("before", 0), side("after", 1)))
+    ordered = once(sides, {"sorted": together}).select(*_AT, "sorted")
+    named = once(ordered, {"named": F.filter("sorted", last)}).select(*_AT, "named")
+    found = F.filter(F.transform("named", changed), lambda c: c["change_type"].isNotNull())
+    return named.select(*_AT, F.inline(found))
 
 
 # ---- configuration -------------------------------------------------------------
@@ -72,8 +86,6 @@ def _load(text: str, file_path: str) -> object:
         return json.loads(text)
     if file_path.endswith(".toml"):
         return tomllib.loads(text)
-    if yaml is None:
-        raise RuntimeError("YAML files need PyYAML on every executor")
     return yaml.load(text, Loader=_YAML)
 
 
@@ -97,26 +109,36 @@ def _leaves(tree: dict) -> dict[str, str]:
 @F.pandas_udf(_PAIRS)
 def _config_leaves(content: pd.Series, file_path: pd.Series) -> pd.Series:
     """Leaves of each file; empty if it does not parse or is not a mapping."""
+    if yaml is None and any(text.strip() and not path.endswith((".json", ".toml")) for text, path in zip(content, file_path)):
+        raise RuntimeError("YAML files need PyYAML on every executor")
+    broken = (ValueError, RecursionError, *([yaml.YAMLError] if yaml else []))  # JSON and TOML errors are ValueErrors
     found = []
     for text, path in zip(content, file_path):
         try:
             tree = _load(text, path) if text.strip() else None
             leaves = _leaves(tree) if isinstance(tree, dict) else {}
-        except Exception:  # any broken file counts as one without keys
+        except broken:
             leaves = {}
         found.append([{"key": k, "value": v} for k, v in leaves.items()])
     return pd.Series(found)
 
 
+def _both(versions: DataFrame, entries: Callable[[str], Column], *steps: Callable[[str], dict[str, Column]]) -> DataFrame:
+    """*versions* with the entries of both sides, one after the other in the same row. *steps* make columns that
+    the entries read, each step once a row."""
+    sides = {"before_entries": "before_content", "after_entries": "after_content"}
+    filled = versions.select(*_AT, *[F.coalesce(c, F.lit("")).alias(c) for c in sides.values()])
+    for step in steps:
+        filled = once(filled, {name: column for c in sides.values() for name, column in step(c).items()})
+    return filled.select(*_AT, *[entries(c).alias(name) for name, c in sides.items()])
+
+
 def config_changes(h: History, max_commits: int | None = None) -> DataFrame:
     """The ``config_changes`` table: keys added, modified or deleted per commit and file."""
     versions, commits = _versions(h, paths.is_config(F.col("file_path")), max_commits)
-    sides = both_sides(versions).withColumn("leaves", _config_leaves("content", "file_path"))
-    entries = sides.select(
-        *_AT, "side", F.posexplode("leaves").alias("place", "leaf")
-    ).select(*_AT, "side", "place", F.col("leaf.key").alias("key_path"), "leaf.value")
     changed = _differences(
-        entries, "key_path", {"added": "added", "removed": "deleted", "changed": "modified"}
+        _both(versions, lambda c: _config_leaves(c, "file_path")), "key_path",
+        {"added": "added", "removed": "deleted", "changed": "modified"},
     )
     return changed.join(commits, "commit_hash").select(
         "file_path", "key_path", "commit_hash", "change_type",
@@ -152,55 +174,50 @@ def _lines(content: str) -> Column:
     return F.transform(F.split(content, breaks), stripped)
 
 
-def _requirement_entries(sides: DataFrame) -> DataFrame:
-    rows = sides.select(*_AT, "side", F.posexplode(_lines("content")).alias("place", "line"))
-    line = F.col("line")
-    kept = rows.filter(~line.startswith("#") & ~line.startswith("-") & ~line.rlike(_URL))
-    plain = kept.withColumn("line", F.regexp_replace("line", r"(?Us)\s+#.*$", ""))
-    return plain.filter(line.rlike("(?U)" + _REQUIREMENT)).select(
-        *_AT, "side", "place",
-        _normal_name(F.regexp_extract("line", "(?U)" + _REQUIREMENT, 1)).alias("package"),
-        _or_star(stripped(F.regexp_extract("line", "(?U)" + _REQUIREMENT, 2))).alias("value"),
-    )
+def _entry(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
 
 
-def _npm_entries(sides: DataFrame) -> DataFrame:
+def _requirement_entries(lines: Column) -> Column:
+    pattern = "(?U)" + _REQUIREMENT
+
+    def entry(line: Column) -> Column:
+        return _entry(_normal_name(F.regexp_extract(line, pattern, 1)), _or_star(stripped(F.regexp_extract(line, pattern, 2))))
+
+    kept = F.filter(lines, lambda x: ~x.startswith("#") & ~x.startswith("-") & ~x.rlike(_URL))
+    plain = F.transform(kept, lambda x: F.regexp_replace(x, r"(?Us)\s+#.*$", ""))
+    return F.transform(F.filter(plain, lambda x: x.rlike(pattern)), entry)
+
+
+def _npm_entries(content: str) -> Column:
     schema = ", ".join(f"{section} map<string,string>" for section in NPM_SECTIONS)
-    parsed = sides.select(
-        *_AT, "side", F.from_json("content", schema, {"allowSingleQuotes": "false"}).alias("j")
-    )
+    parsed = F.from_json(content, schema, {"allowSingleQuotes": "false"})
     empty = F.array().cast("array<struct<key:string,value:string>>")
-    sections = F.flatten(
-        F.array(*[F.coalesce(F.map_entries(f"j.{s}"), empty) for s in NPM_SECTIONS])
-    )
-    rows = parsed.select(*_AT, "side", F.posexplode(sections).alias("place", "entry"))
-    return rows.select(
-        *_AT, "side", "place", F.col("entry.key").alias("package"),
-        F.coalesce("entry.value", F.lit("None")).alias("value"),
-    )
+    sections = F.flatten(F.array(*[F.coalesce(F.map_entries(parsed[s]), empty) for s in NPM_SECTIONS]))
+    return F.transform(sections, lambda e: _entry(e["key"], F.coalesce(e["value"], F.lit("None"))))
 
 
-def _go_entries(sides: DataFrame) -> DataFrame:
-    """Inside a block the last opening line lies after the last closing one."""
-    lined = sides.select(*_AT, "side", F.inline(F.array(F.struct(_lines("content").alias("lines")))))
-    rows = lined.select(*_AT, "side", F.posexplode("lines").alias("place", "line"))
-    line = F.col("line")
-    # the marks of one file: its rows come from one input row, so the window is bounded by it
-    marks = F.when(line.startswith("require ("), F.lit(1)).when(line == ")", F.lit(0))
-    so_far = Window.partitionBy(*_AT, "side").orderBy("place")
-    state = F.last(marks, ignorenulls=True).over(so_far)
-    marked = rows.withColumn("mark", marks).withColumn("inside", F.coalesce(state, F.lit(0)) == 1)
-    body = F.regexp_replace("line", r"(?s)//.*$", "")
-    text = marked.filter(F.col("mark").isNull()).withColumn("text", stripped(body))
-    single = F.col("text").startswith("require ") & ~F.contains("text", F.lit("("))
-    words = F.regexp_extract_all(
-        F.when(single, F.substring("text", 9, 1 << 30)).otherwise(F.col("text")), F.lit(r"(?U)\S+"), 0
-    )
-    usable = text.withColumn("words", words).filter(
-        (single | F.col("inside")) & (F.size("words") >= 2)
-    )
-    return usable.select(
-        *_AT, "side", "place", F.col("words")[0].alias("package"), F.col("words")[1].alias("value")
+def _go_mark(line: Column) -> Column:
+    return F.when(line.startswith("require ("), 1).when(line == ")", 0)
+
+
+def _go_marks(lines: Column) -> Column:
+    """Where a block opens (1) or closes (0)."""
+    every = F.transform(lines, lambda x, i: F.struct(i.alias("at"), _go_mark(x).alias("mark")))
+    return F.filter(every, lambda m: m["mark"].isNotNull())
+
+
+def _go_entries(lines: Column, marks: Column) -> Column:
+    """Inside a block the last mark before a line opens one."""
+    def described(line: Column, i: Column) -> Column:
+        state = F.try_element_at(F.filter(marks, lambda m: m["at"] < i), F.lit(-1))["mark"]
+        text = stripped(F.regexp_replace(line, r"(?s)//.*$", ""))
+        single = text.startswith("require ") & ~F.contains(text, F.lit("("))
+        words = F.regexp_extract_all(F.when(single, F.substring(text, 9, 1 << 30)).otherwise(text), F.lit(r"(?U)\S+"), 0)
+        return F.struct((_go_mark(line).isNull() & (single | (F.coalesce(state, F.lit(0)) == 1))).alias("listed"), words.alias("words"))
+
+    return F.transform(
+        F.filter(F.transform(lines, described), lambda x: x["listed"] & (F.size(x["words"]) >= 2)), lambda x: _entry(x["words"][0], x["words"][1])
     )
 
 
@@ -237,54 +254,57 @@ def _cargo(tree: dict) -> list[tuple[str, str]]:
     return [pair for s in CARGO_SECTIONS for pair in _versioned(_table(tree, s), lower=False)]
 
 
-def _toml_reader(read: Callable[[dict], list]) -> Callable:
-    @F.pandas_udf(_PAIRS)
-    def reader(content: pd.Series) -> pd.Series:
-        found = []
-        for text in content:
-            try:
-                pairs = read(tomllib.loads(text))
-            except (tomllib.TOMLDecodeError, TypeError, AttributeError):
-                pairs = []
-            found.append([{"key": n, "value": v} for n, v in pairs])
-        return pd.Series(found)
-
-    return reader
-
-
-def _toml_entries(sides: DataFrame, read: Callable[[dict], list]) -> DataFrame:
-    """Entries of TOML manifests; one without a name is a requirement text to take apart."""
-    listed = sides.withColumn("entries", _toml_reader(read)("content"))
-    rows = listed.select(*_AT, "side", F.posexplode("entries").alias("place", "entry"))
-    text = F.col("entry.value")
-    whole = F.col("entry.key").isNotNull()
-    named = whole | text.rlike(_PEP508)
-    version = _or_star(stripped(F.regexp_extract(text, _PEP508, 2)))
-    return rows.filter(named).select(
-        *_AT, "side", "place",
-        F.when(whole, F.col("entry.key"))
-        .otherwise(_normal_name(F.regexp_extract(text, _PEP508, 1)))
-        .alias("package"),
-        F.when(whole, text).otherwise(version).alias("value"),
-    )
+_TOML = {"pyproject.toml": _python_project, "Cargo.toml": _cargo}
+
+
+@F.pandas_udf(_PAIRS)
+def _toml_pairs(content: pd.Series, name: pd.Series) -> pd.Series:
+    """Names and versions of TOML manifests; one without a name is a requirement text to take apart. Content is
+    NULL for files of another kind."""
+    found = []
+    for text, base in zip(content, name):
+        try:
+            pairs = _TOML[base](tomllib.loads(text)) if text is not None else []
+        except (tomllib.TOMLDecodeError, TypeError, AttributeError):
+            pairs = []
+        found.append([{"key": n, "value": v} for n, v in pairs])
+    return pd.Series(found)
+
+
+def _toml_entries(pairs: Column) -> Column:
+    def entry(e: Column) -> Column:
+        text, whole = e["value"], e["key"].isNotNull()
+        version = _or_star(stripped(F.regexp_extract(text, _PEP508, 2)))
+        return _entry(
+            F.when(whole, e["key"]).otherwise(_normal_name(F.regexp_extract(text, _PEP508, 1))), F.when(whole, text).otherwise(version)
+        )
+
+    return F.transform(F.filter(pairs, lambda e: e["key"].isNotNull() | e["value"].rlike(_PEP508)), entry)
 
 
 def dependency_changes(h: History, max_commits: int | None = None) -> DataFrame:
     """The ``dep_changes`` table: packages added, removed or bumped per commit and manifest."""
     path = F.col("file_path")
     versions, commits = _versions(h, paths.is_manifest(path), max_commits)
-    sides = both_sides(versions)
     name = paths.base_name(path)
-    entries = (
-        _requirement_entries(sides.filter(paths.is_requirements(path)))
-        .unionByName(_npm_entries(sides.filter(name == "package.json")))
-        .unionByName(_toml_entries(sides.filter(name == "pyproject.toml"), _python_project))
-        .unionByName(_toml_entries(sides.filter(name == "Cargo.toml"), _cargo))
-        .unionByName(_go_entries(sides.filter(name == "go.mod")))
-    )
-    changed = _differences(
-        entries, "package", {"added": "added", "removed": "removed", "changed": "bumped"}
+    toml = name.isin(*_TOML)
+
+    def entries(content: str) -> Column:
+        lines = F.col(f"{content}_lines")
+        return (
+            F.when(paths.is_requirements(path), _requirement_entries(lines))
+            .when(name == "package.json", _npm_entries(content))
+            .when(toml, _toml_entries(_toml_pairs(F.when(toml, F.col(content)), name)))
+            .when(name == "go.mod", _go_entries(lines, F.col(f"{content}_marks")))
+            .otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+        )
+
+    listed = _both(
+        versions, entries,
+        lambda c: {f"{c}_lines": _lines(c)},
+        lambda c: {f"{c}_marks": _go_marks(F.col(f"{c}_lines"))},
     )
+    changed = _differences(listed, "package", {"added": "added", "removed": "removed", "changed": "bumped"})
     return changed.join(commits, "commit_hash").select(
         "file_path", "package", "commit_hash", "change_type",
         F.col("old").alias("old_version"), F.col("new").alias("new_version"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from annalist import History
@@ -96,6 +98,31 @@ def extracted_renames(h):
     return found.select("*", "signals.*").drop("signals")
 
 
+@over("file_versions", "commits", "commit_files", sql=_CHANGED + """
+    SELECT commit_hash, file_path, name, change_type, true AS sound FROM found""")
+def extracted_ends(h):
+    """What changes and renames stand for: every deletion, addition and modification once. A rename is sound if
+    its score is the weighted sum of its signals and those of equal names and texts are one."""
+    found = changes.extract(h)
+    kept = found["function_changes"].filter("change_type <> 'renamed'").select(
+        "commit_hash", "file_path", F.col("function_name").alias("name"), "change_type", F.lit(True).alias("sound")
+    )
+    signal = F.col("signals")
+    total = reduce(lambda a, b: a + b, [signal[name] * weight for name, weight in renames.WEIGHTS.items()])
+    sound = (
+        (F.abs(total - F.col("confidence")) < 0.00051) & (F.col("confidence") >= renames.THRESHOLD)
+        & ((signal["name"] == 1.0) == (F.col("old_name") == F.col("new_name")))
+        & ((signal["location"] == 1.0) == (F.col("old_file_path") == F.col("new_file_path")))
+        & signal["body"].between(0.0, 1.0) & signal["size"].between(0.0, 1.0)
+    )
+    matched = found["function_renames"].withColumn("sound", sound)
+    ends = [
+        matched.select("commit_hash", F.col(f"{side}_file_path"), F.col(f"{side}_name"), F.lit(change), "sound")
+        for side, change in (("old", "deleted"), ("new", "added"))
+    ]
+    return kept.union(ends[0]).union(ends[1])
+
+
 @over("file_versions", "commits", "commit_files", sql=_CHANGED + """,
     newest AS (SELECT hash FROM h_commits ORDER BY "timestamp" DESC, hash LIMIT 2000)
     SELECT commit_hash, file_path, count(*) AS found FROM found

@@ -235,3 +235,72 @@ def test_rename_schema(spark):
     df = spark.createDataFrame([], LOOSE)
     got = renames.match(df, False)
     assert got.columns == SCHEMAS["function_renames"].fieldNames() and got.count() == 0
+
+
+# ---- shapes and checks that came with the row-local comparison ------------------------------
+
+
+def test_comparing_shuffles_nothing(spark, make_history):
+    h = version_history(make_history, [("c1", "a.py", "", "def f():\n    pass\n", 2, 0)])
+    plan = changes.compare(h.file_versions, text=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_both_sides_of_repeated_names(make_history):
+    before = "class A:\n    x = 1\n\ndef f():\n    return 1\n\ndef f():\n    return 2\n"
+    after = "def f():\n    return 2\n\ndef g():\n    return 3\n\ndef g():\n    return 4\n"
+    h = version_history(make_history, [("c1", "a.py", before, after, 1, 1), ("c2", "a.py", None, after, 1, 1), ("c3", "a.txt", before, after, 1, 1)])
+    rows = dicts(changes.compare(h.file_versions, text=True))
+    got = sorted((r["commit_hash"], r["name"], r["kind"], r["change_type"], r["place"], r["start_line"], r["body"]) for r in rows if r["change_type"] != "modified")
+    assert got == [
+        ("c1", "A", "class", "deleted", 1, 1, "class A:\n    x = 1"), ("c1", "g", "function", "added", 4, 7, "def g():\n    return 4"),
+        ("c2", "f", "function", "added", 1, 1, "def f():\n    return 2"), ("c2", "g", "function", "added", 4, 7, "def g():\n    return 4"),
+    ]
+    assert [(r["commit_hash"], r["name"], r["place"], r["body"]) for r in rows if r["change_type"] == "modified"] == [("c1", "f", 1, None)]
+
+
+def test_block_ends_against_a_reading_line_by_line():
+    import numpy as np
+
+    draw = random.Random(9)
+    for _ in range(300):
+        n = draw.randint(1, 40)
+        levels = np.array([draw.choice([-1, 0, 0, 2, 4, 4, 8]) for _ in range(n)])
+        starts = np.array(sorted(draw.sample(range(n), draw.randint(1, n))))
+        starts = starts[levels[starts] >= 0]
+        want = []
+        for s in starts:
+            last = s
+            for i in range(s + 1, n):
+                if levels[i] >= 0:
+                    if levels[i] <= levels[s]:
+                        break
+                    last = i
+            want.append(last + 1)
+        if len(starts):
+            assert definitions._indented_ends(levels, starts).tolist() == want
+        braces = np.array([draw.choice([-1, 0, 0, 1, 1, 2, -2]) for _ in range(n)])
+        starts, want = np.array(sorted(draw.sample(range(n), draw.randint(1, n)))), []
+        for s in starts:
+            depth, opened, end = 0, False, n
+            for i in range(s, n):
+                depth += braces[i]
+                opened |= depth > 0
+                if opened and depth <= 0:
+                    end = i + 1
+                    break
+            want.append(end)
+        assert definitions._braced_ends(braces, starts).tolist() == want
+
+
+def test_texts_of_all_lengths_meet(spark):
+    rng, rows = random.Random(8), []
+    for commit in range(2):
+        for side in ("deleted", "added"):
+            for place, n in enumerate((1, 2, 3, 5, 9, 17, 33, 60)):
+                body = f"def work(a):\n" + "\n".join(f"    step_{k % 7}(a, {rng.choice([1, 1, 1, 2])})" for k in range(n))
+                path = rng.choice(FILES)
+                rows.append((f"c{commit}", path, f"work{place}", "function", side, place + 1, place + 1, place + 1 + n, "def work(a):", str(hash(body)), len(body), body))
+    df = spark.createDataFrame(rows, LOOSE)
+    want = plain_greedy(rows, False)
+    assert matched(renames.match(df, False)) == want and len(want) > 8

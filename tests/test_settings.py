@@ -93,3 +93,28 @@ def test_dependency_diff(make_history):
     assert deps(make_history, "requirements.txt", "a==1\nb==1\nd==1\n", "a==2\nc==1\nd==1\n") == [
         ("a", "bumped", "==1", "==2"), ("b", "removed", "==1", None), ("c", "added", None, "==1"),
     ]
+
+
+def test_a_missing_yaml_reader_is_an_error(make_history, monkeypatch):
+    monkeypatch.setattr(settings, "yaml", None)
+    read = settings._config_leaves.func
+    import pandas as pd
+
+    with pytest.raises(RuntimeError, match="PyYAML"):
+        read(pd.Series(["a: 1"]), pd.Series(["x.yaml"]))
+    assert read(pd.Series(["", '{"a": 1}', "{broken"]), pd.Series(["x.yaml", "x.json", "y.json"])).tolist() == [[], [{"key": "a", "value": "1"}], []]
+
+
+def test_sides_are_compared_in_their_row(make_history):
+    both = make_history(
+        commits=[("c", "A", 5, "msg", 1)],
+        file_versions=[("c", "go.mod", "", "require a v1\nrequire (\n b v2\n)\nc v3\n"), ("c", "requirements.txt", "x==1\nx==2", "x==2"),
+                       ("c", "package.json", '{"dependencies": {"r": "1"}}', '{"dependencies": {"r": null}}'), ("c", "Cargo.toml", "[dependencies]\ns = '1'", None)],
+    )
+    rows = dicts(settings.dependency_changes(both))
+    assert sorted((r["file_path"], r["package"], r["change_type"], r["new_version"]) for r in rows) == [
+        ("Cargo.toml", "s", "removed", None), ("go.mod", "a", "added", "v1"), ("go.mod", "b", "added", "v2"), ("package.json", "r", "bumped", "None"),
+    ]
+    for changes in (settings.dependency_changes(both), settings.config_changes(both)):
+        plan = changes._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Union" not in plan and plan.count("Join") == 1
