@@ -227,10 +227,10 @@ def _monthly_changes(changes: DataFrame) -> DataFrame:
     )
 
 
-def timeline(h: History, as_of: int, months: int = 12) -> DataFrame:
-    """Monthly commits, changes, functions and authors; months without either are absent."""
-    cutoff = clock.months_back(as_of, months)
-    recent = F.col("timestamp") > cutoff
+def timeline(h: History, as_of: int, months: int | None = 12) -> DataFrame:
+    """Monthly commits, changes, functions and authors of the last *months*, or of all; months without either
+    are absent."""
+    recent = F.lit(True) if months is None else F.col("timestamp") > clock.months_back(as_of, months)
     changes = _monthly_changes(h.function_changes.filter(recent))
     commits = (
         h.commits.filter(recent)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.operators import activity, lineage, ownership, phases, releases, reports, stability
+from annalist.session import shared_folder
 from annalist.sources import tables
-from catalog.registry import over
-from catalog.views import AS_OF
+from catalog.registry import direct, over
+from catalog.views import AS_OF, history
 
 LAST_TAG = "SELECT hash FROM h_tags ORDER BY \"timestamp\" DESC, name DESC LIMIT 1"
 
@@ -495,3 +496,28 @@ def export_sections(h):
         )
         listing = part if listing is None else listing.unionByName(part)
     return listing
+
+
+@direct(sql="""
+    SELECT 'timeline' AS section, coalesce(c.month, f.month) AS a, '' AS b, coalesce(f.n, 0) AS n, coalesce(c.n, 0) AS m
+    FROM (SELECT month, count(*) AS n FROM h_month_commits GROUP BY 1) c
+    FULL JOIN (SELECT month, count(*) AS n FROM h_month_changes GROUP BY 1) f ON c.month = f.month
+    UNION ALL SELECT 'blame', function_name, file_path, line_count, CAST(percentage * 10 AS BIGINT) FROM h_blame_entries
+    UNION ALL SELECT 'authors', author, '', count(*), count(DISTINCT function_name) FROM h_function_changes WHERE author <> '' GROUP BY author""")
+def exported_files(spark, sf_dir):
+    """The export written as JSON lines, timeline uncut, and read again."""
+    h = history(spark, sf_dir, "commits", "functions", "function_changes", "blame_entries")
+    root = shared_folder(spark, "export")
+    tables.export(h, root, AS_OF, "json", ["timeline", "blame", "authors"], months=None)
+
+    def section(name, schema, *columns):
+        rows = spark.read.schema(schema).json(f"{root}/{name}")
+        return rows.select(F.lit(name).alias("section"), *[c.alias(a) for c, a in zip(columns, "abnm")])
+
+    whole = lambda c: F.col(c).cast("bigint")
+    return (
+        section("timeline", "month string, commits bigint, changes bigint", F.col("month"), F.lit(""), whole("changes"), whole("commits"))
+        .unionByName(section("blame", "function_name string, file_path string, line_count bigint, percentage double",
+                             F.col("function_name"), F.col("file_path"), whole("line_count"), F.round(F.col("percentage") * 10).cast("bigint")))
+        .unionByName(section("authors", "author string, change_count bigint, functions_touched bigint", F.col("author"), F.lit(""), whole("change_count"), whole("functions_touched")))
+    )

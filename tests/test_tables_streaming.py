@@ -139,3 +139,67 @@ def test_live_activity(spark, make_history, tmp_path):
     assert dicts(spark.table("months")) == [{"month": "1970-01", "changes": 2, "authors": 2}]
     assert dicts(spark.table("spots"))[0]["change_count"] == 2
     assert sorted(r["day"] for r in dicts(spark.table("days"))) == [86400, 2 * 86400]
+
+
+def test_final_months_leave_the_state(spark, table, tmp_path):
+    """Each run restarts from the checkpoint; a month that is long past is written, dropped and closed."""
+    day, start = 86400, 18262 * 86400  # 2020-01-01
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    batches = [
+        [("f", 10 * day), ("f", 20 * day), ("g", 20 * day)],  # January
+        [("f", 50 * day), ("f", 25 * day)],  # February, and January again: not yet late
+        [("f", 200 * day)],  # July
+        [("f", 15 * day), ("g", 201 * day)],  # January is final by now
+    ]
+    progress = []
+    for n, rows in enumerate(batches):
+        facts = [(name, "a.py", f"c{n}{i}", "modified", 1, 0, "A", start + at, "m") for i, (name, at) in enumerate(rows)]
+        table("function_changes", facts).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMAS["function_changes"]).parquet(source)
+
+        def write(batch, number):
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+        query = live.running_hotspots(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress.append(query.lastProgress["stateOperators"][0])
+    got = {r["function_name"]: (r["change_count"], r["last_changed"] - start) for r in dicts(live.total_hotspots(spark.read.parquet(out)))}
+    # the late row of January is left out, all else is counted as a batch would
+    assert got == {"f": (5, 200 * day), "g": (2, 201 * day)}
+    assert progress[-1]["numRowsTotal"] == 2 and progress[-1]["numRowsDroppedByWatermark"] == 1
+
+
+def test_vectors_by_batch(spark, make_history, table, tmp_path):
+    h, root = small(make_history), str(tmp_path / "v")
+
+    def put(batch, *rows):
+        ingest.put_embeddings(table("embeddings", [(t, ref, "", [value], "m") for t, ref, value in rows]), root, batch)
+
+    def now(of=None, at=root):
+        return sorted((r["ref_id"], r["vector"][0]) for r in dicts(ingest.current_embeddings(spark, at, of or h)))
+
+    assert now() == []
+    put(0, ("function", "f::a.py", 1.0), ("commit", "c1", 1.0), ("function", "gone::a.py", 1.0))
+    put(1, ("function", "f::a.py", 2.0), ("function", "g::b.py", 2.0))
+    assert now() == [("c1", 1.0), ("f::a.py", 2.0), ("g::b.py", 2.0)]
+    put(1, ("function", "f::a.py", 2.0), ("function", "g::b.py", 2.0))  # a replay changes nothing
+    assert now() == [("c1", 1.0), ("f::a.py", 2.0), ("g::b.py", 2.0)]
+    vanished = h.with_tables(functions=h.functions.filter("name = 'g'"))
+    assert now(vanished) == [("c1", 1.0), ("g::b.py", 2.0)]
+    other = str(tmp_path / "w")
+    ingest.compact_embeddings(spark, root, other, vanished)
+    assert now(at=other) == now(vanished) and spark.read.parquet(f"{other}/vectors").count() == 2
+    ingest.clear_embeddings(spark, root, 2)
+    assert now() == []
+    put(3, ("commit", "c2", 3.0))
+    assert now() == [("c2", 3.0)]
+
+
+def test_export_of_all_months(spark, make_history, tmp_path):
+    h = small(make_history)
+    late = 86400 * 365 * 40
+    tables.export(h, str(tmp_path / "cut"), as_of=late, sections=["timeline"])
+    tables.export(h, str(tmp_path / "all"), as_of=late, sections=["timeline"], months=None)
+    read = lambda n: [r["commits"] for r in spark.read.schema("month string, commits int").json(str(tmp_path / n / "timeline")).collect()]
+    assert read("cut") == [] and read("all") == [2]
