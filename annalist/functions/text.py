@@ -56,6 +56,7 @@ _HUMP = r"[a-z][A-Z]|[A-Z]{2}[a-z]|(?U:[a-zA-Z]\d|\d[a-zA-Z])"
 
 
 def _words(token: Column) -> Column:
+    # The four places where a token is split, in this order.
     spaced = F.regexp_replace(token, r"([a-z])([A-Z])", "$1 $2")
     spaced = F.regexp_replace(spaced, r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     spaced = F.regexp_replace(spaced, r"([a-zA-Z])((?U)\d)", "$1 $2")
@@ -184,6 +185,7 @@ def commit_theme(message: Column) -> Column:
 
 # ---- embedding texts ------------------------------------------------------
 
+# The labels and the order of lines in both texts below.
 
 def _optional(label: str, value: Column) -> Column:
     return F.when(F.length(value) > 0, F.concat(F.lit(label), value))

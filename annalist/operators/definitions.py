@@ -56,6 +56,7 @@ GRAMMARS: dict[str, list[tuple[str, int, int]]] = {
 }
 
 _UNICODE = "(?U)"
+# Comments and literals that hide braces; possessive, so that long literals do not overflow the stack.
 _STRINGS = [
     (r"(?s)//.*$", ""),
     (r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""'),

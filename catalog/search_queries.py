@@ -41,6 +41,7 @@ def _hits(patterns: list[str]) -> str:
     return " + ".join(f"CAST(regexp_matches(q, '{p}') AS INTEGER)" for p in patterns)
 
 
+# Fixed values, as in annalist.functions.text: patterns of queries, in the dialect of the check SQL.
 _TECHNICAL = _hits([
     "[A-Z][a-z]+[A-Z]", "[a-z]+_[a-z]+", "[A-Z]{2,}", r"[\p{L}\p{N}_]+\.[\p{L}\p{N}_]+",
     r"[\p{L}\p{N}_]+\(\)", r"\*\.[\p{L}\p{N}_]+",
