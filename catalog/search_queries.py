@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.functions import text
-from annalist.operators import postings, search
+from annalist.operators import postings, search, vectors
 from annalist.session import shared_folder
 from annalist.sources import tables
 from catalog.registry import direct, over
@@ -217,6 +217,20 @@ def vector_search(spark, sf_dir):
     return hits.withColumns({c: F.round(c, 6) for c in ["score", "cosine"]})
 
 
+@direct(sql="""
+    WITH v AS (SELECT type, ref_id, CAST(vector AS DOUBLE[]) AS v FROM h_embeddings),
+    q AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0)
+    SELECT query_id, type, ref_id, round(list_dot_product(q, v), 6) AS cosine,
+           row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, v) DESC, type, ref_id) AS rank
+    FROM q, v WHERE list_dot_product(q, v) >= 0.05 QUALIFY rank <= 10""")
+def vector_search_many(spark, sf_dir):
+    """Every twentieth vector as a query, against all lists."""
+    root = shared_folder(spark, "vector-lists")
+    vectors.build(history(spark, sf_dir, "embeddings").embeddings, root, dims=64)
+    asked = read(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select("vec_id", "embedding").toDF("query_id", "vector")
+    return vectors.search(vectors.load(spark, root), asked).withColumn("cosine", F.round("cosine", 6))
+
+
 # ---- hybrid --------------------------------------------------------------------------
 
 _HYBRID = f"""
