@@ -203,3 +203,24 @@ def test_export_of_all_months(spark, make_history, tmp_path):
     tables.export(h, str(tmp_path / "all"), as_of=late, sections=["timeline"], months=None)
     read = lambda n: [r["commits"] for r in spark.read.schema("month string, commits int").json(str(tmp_path / n / "timeline")).collect()]
     assert read("cut") == [] and read("all") == [2]
+
+
+def test_lookups_skip_files(spark, table, make_history, tmp_path):
+    def scanned(df):
+        """Rows that a filter over one scan is given after files and row groups were skipped."""
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+        return leaves.head().metrics().apply("numOutputRows").value()
+
+    rng = random.Random(4)
+    facts = [(f"f{i % 50}", f"d{i % 7}/a.py", f"{rng.getrandbits(64):016x}", "modified", 1, 0, "A", 1_000_000 + 1000 * (i // 3), "m") for i in range(4000)]
+    h = make_history(function_changes=facts, commits=[(f[2], "A", f[7], "m", 1) for f in facts], tags=[("v1", facts[0][2], 5, "A", "m")])
+    tables.save_for_lookup(h, str(tmp_path), files=8)
+    back = tables.load(spark, str(tmp_path), "commits", "function_changes", "tags")
+    assert len(back.commits.inputFiles()) == 8 and back.tags.count() == 1
+    assert sorted(map(str, dicts(back.function_changes))) == sorted(map(str, dicts(h.function_changes)))
+    one = back.commits.filter(F.col("hash") == facts[1234][2])
+    assert one.count() == 1 and 0 < scanned(one) <= 2 * 4000 / 8  # Bloom filters leave the file that holds it
+    period = back.function_changes.filter(F.col("timestamp").between(1_000_000, 1_100_000))
+    assert period.count() == 303 and scanned(period) <= 2 * 4000 / 8
+    assert scanned(back.function_changes.filter(F.col("commit_hash") == "0" * 16)) <= 4000 / 8
