@@ -283,6 +283,31 @@ def function_blame(h):
     return lookup.function_blame(h, "brand", "red_widget_1")
 
 
+def _last_named(rows, name: str) -> tuple[str, str]:
+    """The last path of *rows*, and the first name in it."""
+    path = rows.agg(F.max("file_path")).first()[0]
+    return path, rows.filter(F.col("file_path") == path).agg(F.min(name)).first()[0]
+
+
+_LAST_PATH = "(SELECT max(file_path) FROM {0})"
+_LAST_NAME = "(SELECT min({1}) FROM {0} WHERE file_path = (SELECT max(file_path) FROM {0}))"
+
+
+@over("functions", sql=f"""
+    SELECT name, file_path, language, start_line, end_line, kind, signature FROM h_functions
+    WHERE file_path = {_LAST_PATH.format('h_functions')} AND name = {_LAST_NAME.format('h_functions', 'name')}
+    ORDER BY start_line, kind LIMIT 1""")
+def function_info_exact(h):
+    return lookup.function_info(h, *_last_named(h.functions, "name"))
+
+
+@over("blame_entries", sql=f"""
+    SELECT function_name, file_path, author, line_count, percentage, commit_hash FROM h_blame_entries
+    WHERE file_path = {_LAST_PATH.format('h_blame_entries')} AND function_name = {_LAST_NAME.format('h_blame_entries', 'function_name')}""")
+def function_blame_exact(h):
+    return lookup.function_blame(h, *_last_named(h.blame_entries, "function_name"))
+
+
 _DIFF = "function_name, file_path, change_type, lines_added, lines_removed, author, commit_hash"
 
 
@@ -325,7 +350,7 @@ _REPORT = """
      ORDER BY start_line, file_path LIMIT 1)"""
 
 
-@over("functions", "blame_entries", "function_changes", sql=f"""
+_REPORT_ROWS = f"""
     SELECT f.file_path, name, kind, start_line, end_line, coalesce(owner, '') AS owner,
            coalesce(ownership_pct, 0.0) AS ownership_pct, coalesce(n, 0) AS change_count,
            last_ts AS last_changed,
@@ -333,11 +358,19 @@ _REPORT = """
     FROM h_functions f
     LEFT JOIN h_owners o ON o.function_name = f.name AND o.file_path = f.file_path
     LEFT JOIN ({_COUNTS}) c ON c.function_name = f.name AND c.file_path = f.file_path
-    WHERE f.file_path = {_REPORT}""")
+    WHERE f.file_path = """
+
+
+@over("functions", "blame_entries", "function_changes", sql=_REPORT_ROWS + _REPORT)
 def file_report_functions(h):
     return lookup.file_report(h, "brand_1", AS_OF)["functions"]
 
 
+@over("functions", "blame_entries", "function_changes", sql=_REPORT_ROWS + _LAST_PATH.format("h_functions"))
+def file_report_exact(h):
+    return lookup.file_report(h, _last_named(h.functions, "name")[0], AS_OF)["functions"]
+
+
 @over("functions", "blame_entries", "function_changes", sql=f"""
     SELECT file_path, arg_min(language, start_line) AS language, count(*) AS total_functions,
            (SELECT count(*) FROM h_function_changes WHERE file_path = {_REPORT}) AS total_changes,

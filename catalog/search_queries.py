@@ -277,7 +277,7 @@ def hybrid_search(spark, sf_dir):
 # ---- embedding store -------------------------------------------------------------------
 
 
-@over("functions", "commits", "embeddings", sql="""
+_WORK = """
     SELECT type, ref_id, text FROM (
         SELECT 'function' AS type, name || '::' || file_path AS ref_id,
                name || ' — ' || kind || ' in ' || file_path || chr(10) || 'Signature: ' || signature || chr(10)
@@ -285,11 +285,19 @@ def hybrid_search(spark, sf_dir):
         UNION ALL
         SELECT 'commit', hash, message || chr(10) || 'Files changed: ' || files_changed || chr(10) || 'Author: ' || author
         FROM h_commits)
-    WHERE (type, ref_id) NOT IN (SELECT (type, ref_id) FROM h_embeddings)""")
+    """
+
+
+@over("functions", "commits", "embeddings", sql=_WORK + "WHERE (type, ref_id) NOT IN (SELECT (type, ref_id) FROM h_embeddings)")
 def embedding_work(h):
     return search.embedding_work(h)
 
 
+@over("functions", "commits", "embeddings", sql=_WORK)
+def embedding_work_all(h):
+    return search.embedding_work(h, model_changed=True)
+
+
 @over("embeddings", sql="""
     SELECT count(*) AS total, count(*) FILTER (type = 'function') AS functions,
            count(*) FILTER (type = 'commit') AS commits, 'sample-64' AS model, max(len(vector)) AS dim
