@@ -12,6 +12,7 @@ from annalist.plans.shapes import top
 from annalist.schema import History
 from annalist.session import cut
 
+MERGED = 8
 _NODE = ["seed", "name", "path"]
 _HISTORY = [
     "function_name", "file_path", "commit_hash", "change_type", "lines_added", "lines_removed",
@@ -23,7 +24,8 @@ def _reach(start: DataFrame, edges: DataFrame, seen: list[DataFrame]) -> list[Da
     """Nodes reached from *start* one join at a time, never entering *seen*.
 
     Each round is materialised, so a round costs one join with the edges whatever the depth,
-    and the loop ends when a round finds nothing new.
+    and the loop ends when a round finds nothing new. Rounds are put together after every MERGED of
+    them, so neither plans nor the files that a round reads grow with the length of a chain.
     """
     found, frontier = list(seen), start
     while True:
@@ -35,6 +37,8 @@ def _reach(start: DataFrame, edges: DataFrame, seen: list[DataFrame]) -> list[Da
         if frontier.isEmpty():
             return found
         found.append(frontier)
+        if len(found) > MERGED:
+            found = [cut(reduce(DataFrame.unionByName, found))]
 
 
 def rename_chain(h: History, seeds: DataFrame) -> DataFrame:

@@ -174,6 +174,16 @@ def test_history_follows_renames(make_history):
     assert names(lineage.history_by_name(gone, "lost")) == ["new"]
 
 
+def test_long_chains(make_history, monkeypatch):
+    monkeypatch.setattr(lineage, "MERGED", 2)
+    change = lambda i: (f"n{i}", "a.py", f"c{i}", "modified", 1, 0, "A", i + 1, "m")
+    h = make_history(
+        function_changes=[change(i) for i in range(9)],
+        function_renames=[("c", f"n{i}", "a.py", "function", f"n{i + 1}", "a.py", "function", 0.9) for i in range(8)],
+    )
+    assert [r["function_name"] for r in dicts(lineage.function_history(h, "n4", "a.py"))] == [f"n{i}" for i in range(8, -1, -1)]
+
+
 # ---- documents -----------------------------------------------------------------------------
 
 
