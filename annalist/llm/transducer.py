@@ -33,7 +33,7 @@ WORD_END = "</w>"
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANKS}\p{{L}}\p{{N}}]+"
 BUFFER = 512
-CACHED = 300_000
+CACHED = 150_000
 
 
 def vocabulary_path() -> str:
