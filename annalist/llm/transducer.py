@@ -33,7 +33,7 @@ WORD_END = "</w>"
 BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANKS}\p{{L}}\p{{N}}]+"
 BUFFER = 512
-CACHED = 150_000
+CACHED = 300_000
 
 
 def vocabulary_path() -> str:
@@ -218,8 +218,9 @@ def _once(kind, path: str):
     return _loaded[kind, path]
 
 
-def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encoded(path: str, batches: Iterator[pa.RecordBatch], cached: int = CACHED) -> Iterator[pa.RecordBatch]:
     encoder = _once(Encoder, path)
+    encoder.cached = cached
     for batch in batches:
         for part in _slices(batch, "text"):
             ids = [np.array(encoder.encode(t), dtype=np.int32) if t else np.empty(0, np.int32) for t in part["text"].to_pylist()]
@@ -276,13 +277,14 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator
         yield batch.slice(first, last - first)
 
 
-def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, and ids if asked for: what :func:`encode`
-    and :func:`decode` do, one after the other in one worker, and digests of their outputs."""
+    and :func:`decode` do, one after the other in one worker, and digests of their outputs. A worker remembers
+    *cached* words."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _digested(with_ids, _decoded(path, False, _encoded(path, batches)))
+        return _digested(with_ids, _decoded(path, False, _encoded(path, batches, cached)))
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
