@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of them and of the text they decode to."""
-    return transducer.digests(docs, with_ids=True)
+    return transducer.digests(docs, with_ids=True, cached=150_000)
 
 
 STAGES = [
