@@ -304,3 +304,15 @@ def test_texts_of_all_lengths_meet(spark):
     df = spark.createDataFrame(rows, LOOSE)
     want = plain_greedy(rows, False)
     assert matched(renames.match(df, False)) == want and len(want) > 8
+
+
+def test_lines_are_matched_once_in_the_helper(spark, make_history):
+    """No regular expression of a line is an expression of the plan, where it would be interpreted line by line."""
+    h = version_history(make_history, [("c1", "a.rs", "", "fn f() {\n}\n", 2, 0)])
+    plan = changes.compare(h.file_versions, text=True)._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" not in plan.upper().split("ARROWEVALPYTHON")[0] and "regexp_replace" not in plan
+
+
+def test_lines_with_and_without_wide_letters(spark):
+    source = "struct naïve_́é {\n} \nfn ²x() {\n  // {\n}\n fn wide() { '{' }\nfn last() {\n  \"{\\\"{\"\n}"
+    assert parsed(spark, "t.rs", source) == [(1, 2, "naïve_́é", "class"), (6, 9, "wide", "function"), (7, 9, "last", "function")]
