@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions import clock, paths, text
+from annalist.operators.definitions import once
 from annalist.plans.shapes import top, window
 from annalist.schema import History
 
@@ -95,18 +96,23 @@ def show_source(h: History, file_path: str, function_name: str) -> DataFrame:
 
 
 def definition_sources(h: History) -> DataFrame:
-    """Every definition with its source lines."""
-    heads = h.head_files.select("file_path", "content")
-    return h.functions.join(heads, "file_path").select(
-        "name", "file_path", "kind", "start_line", "end_line", sliced("content").alias("source")
-    )
+    """Every definition with its source lines. The definitions of a file meet its text once, and texts are never
+    broadcast: their size is not known before they are made."""
+    facts = ["name", "kind", "start_line", "end_line"]
+    listed = h.functions.groupBy("file_path").agg(F.collect_list(F.struct(*facts)).alias("listed"))
+    heads = h.head_files.select("file_path", "content").hint("merge")
+    met = heads.join(listed.hint("merge"), "file_path")
+    lines = once(met, {"lines": F.split("content", "\n")}).select("file_path", "listed", "lines")
+    described = F.transform("listed", lambda d: F.struct(*[d[f] for f in facts], _between(F.col("lines"), d["start_line"], d["end_line"]).alias("source")))
+    return lines.select("file_path", F.inline(described)).select("name", "file_path", "kind", "start_line", "end_line", "source")
 
 
 def sliced(content: str) -> F.Column:
-    length = F.col("end_line") - F.col("start_line") + 1
-    return F.array_join(
-        F.slice(F.split(F.col(content), "\n"), F.col("start_line"), length), "\n"
-    )
+    return _between(F.split(F.col(content), "\n"), F.col("start_line"), F.col("end_line"))
+
+
+def _between(lines: F.Column, first: F.Column, last: F.Column) -> F.Column:
+    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
 
 
 def file_at_commit(h: History, commit: str, file_path: str) -> DataFrame:

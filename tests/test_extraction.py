@@ -4,7 +4,8 @@ import random
 import pytest
 from conftest import dicts
 
-from annalist.operators import changes, definitions, renames
+from annalist import History
+from annalist.operators import changes, definitions, lookup, renames
 from annalist.schema import SCHEMAS
 
 
@@ -316,3 +317,13 @@ def test_lines_are_matched_once_in_the_helper(spark, make_history):
 def test_lines_with_and_without_wide_letters(spark):
     source = "struct naïve_́é {\n} \nfn ²x() {\n  // {\n}\n fn wide() { '{' }\nfn last() {\n  \"{\\\"{\"\n}"
     assert parsed(spark, "t.rs", source) == [(1, 2, "naïve_́é", "class"), (6, 9, "wide", "function"), (7, 9, "last", "function")]
+
+
+def test_texts_of_sources_are_not_broadcast(spark):
+    heads = spark.createDataFrame([("a.py", "def f():\n    pass\nclass A:\n    x = 1"), ("b.py", "x"), (None, "def g(): pass")], "file_path string, content string")
+    h = History(head_files=heads)
+    found = lookup.definition_sources(h.with_tables(functions=definitions.head_functions(h)))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["name"], r["kind"], r["start_line"], r["end_line"], r["source"]) for r in dicts(found)) == [
+        ("A", "class", 3, 4, "class A:\n    x = 1"), ("f", "function", 1, 2, "def f():\n    pass"),
+    ]
