@@ -327,3 +327,13 @@ def test_texts_of_sources_are_not_broadcast(spark):
     assert sorted((r["name"], r["kind"], r["start_line"], r["end_line"], r["source"]) for r in dicts(found)) == [
         ("A", "class", 3, 4, "class A:\n    x = 1"), ("f", "function", 1, 2, "def f():\n    pass"),
     ]
+
+
+def test_characters_are_counted_by_batch(spark):
+    texts = ["def f(a):\n    return é_1", "", None, "𝐀 x{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, body string").select("i", renames._profile("body").alias("p"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    for row in df.collect():
+        text = texts[row["i"]] or ""
+        want = [sum(c in group for c in text) for group in renames._GROUPS]
+        assert list(row["p"]) == [*want, len(text) - sum(want)]
