@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annalist.session import cut, shared_folder
+from annalist.session import cut, staged  # noqa: F401 (staged is for the operators)
 
 #: A word is a run of anything but these six bytes.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -37,14 +37,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """*df* written to the shared folder and read again, so that it is computed once and its
-    size is known to the planner."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from annalist.functions import clock, text
 from annalist.plans.shapes import top
 from annalist.schema import History
-from annalist.session import cut
+from annalist.session import staged
 
 MERGED = 8
 _NODE = ["seed", "name", "path"]
@@ -21,7 +21,7 @@ _HISTORY = [
 
 
 def _reach(start: DataFrame, edges: DataFrame, seen: list[DataFrame]) -> list[DataFrame]:
-    """Nodes reached from *start* one join at a time, never entering *seen*.
+    """(seed, node) numbers reached from *start* one join at a time, never entering *seen*.
 
     Each round is materialised, so a round costs one join with the edges whatever the depth,
     and the loop ends when a round finds nothing new. Rounds are put together after every MERGED of
@@ -29,35 +29,57 @@ def _reach(start: DataFrame, edges: DataFrame, seen: list[DataFrame]) -> list[Da
     """
     found, frontier = list(seen), start
     while True:
-        step = frontier.join(edges, ["name", "path"]).select(
-            "seed", F.col("to_name").alias("name"), F.col("to_path").alias("path")
-        )
+        step = frontier.join(edges, "node").select("seed", F.col("to").alias("node"))
         known = reduce(DataFrame.unionByName, found)
-        frontier = cut(step.distinct().join(known, _NODE, "left_anti"))
+        frontier = staged(step.distinct().join(known, ["seed", "node"], "left_anti"), "chain-round")
         if frontier.isEmpty():
             return found
         found.append(frontier)
         if len(found) > MERGED:
-            found = [cut(reduce(DataFrame.unionByName, found))]
+            found = [staged(reduce(DataFrame.unionByName, found), "chain-rounds")]
+
+
+def _numbered(rows: DataFrame, number: str, name: str) -> DataFrame:
+    """The different *rows* with a number each; written down, so a row keeps its number."""
+    return staged(rows.distinct().withColumn(number, F.monotonically_increasing_id()), name)
+
+
+def _same(a: DataFrame, b: DataFrame, columns: dict[str, str]) -> F.Column:
+    return reduce(lambda x, y: x & y, [a[x].eqNullSafe(b[y]) for x, y in columns.items()])
 
 
 def rename_chain(h: History, seeds: DataFrame) -> DataFrame:
     """(seed, name, path): what each seed was renamed from, then what it was renamed to.
 
-    Both walks begin at the seed; the second does not pass through nodes of the first.
+    Both walks begin at the seed; the second does not pass through nodes of the first. The different
+    renames are read once, as pairs of node numbers, and the rounds meet on these numbers.
     """
-    renames = h.function_renames
-    back = renames.select(
-        F.col("new_name").alias("name"), F.col("new_file_path").alias("path"),
-        F.col("old_name").alias("to_name"), F.col("old_file_path").alias("to_path"),
-    )
-    forth = renames.select(
-        F.col("old_name").alias("name"), F.col("old_file_path").alias("path"),
-        F.col("new_name").alias("to_name"), F.col("new_file_path").alias("to_path"),
+    old, new = {"old_name": "name", "old_file_path": "path"}, {"new_name": "name", "new_file_path": "path"}
+    renames = staged(h.function_renames.select(*old, *new).distinct(), "chain-renames")
+    starts = staged(seeds.select(*_NODE).distinct(), "chain-seeds")
+    ends = [renames.select(*[F.col(c).alias(n) for c, n in end.items()]) for end in (old, new)]
+    nodes = _numbered(reduce(DataFrame.unionByName, [*ends, starts.select("name", "path")]), "node", "chain-nodes")
+    labels = _numbered(starts.select("seed"), "number", "chain-labels")
+
+    def at(rows: DataFrame, columns: dict[str, str], number: str) -> DataFrame:
+        kept = [c for c in rows.columns if c not in columns]
+        return rows.join(nodes, _same(rows, nodes, columns)).select(*[rows[c] for c in kept], F.col("node").alias(number))
+
+    pairs = staged(at(at(renames, old, "old"), new, "new"), "chain-pairs")
+    # a node without a name or a path is an end: nothing is known to be the same function
+    open_nodes = nodes.filter("name IS NOT NULL AND path IS NOT NULL").select("node")
+
+    def edges(start: str, end: str) -> DataFrame:
+        both = pairs.select(F.col(start).alias("node"), F.col(end).alias("to"))
+        return staged(both.join(open_nodes, "node", "left_semi"), "chain-edges")
+
+    start = at(starts, {"name": "name", "path": "path"}, "node")
+    start = staged(
+        start.join(labels, start["seed"].eqNullSafe(labels["seed"])).select(F.col("number").alias("seed"), "node"), "chain-start"
     )
-    start = cut(seeds.select(*_NODE).distinct())
-    found = _reach(start, forth, _reach(start, back, [start]))
-    return reduce(DataFrame.unionByName, found)
+    found = _reach(start, edges("old", "new"), _reach(start, edges("new", "old"), [start]))
+    reached = reduce(DataFrame.unionByName, found).withColumnRenamed("seed", "number")
+    return reached.join(labels, "number").join(nodes, "node").select(*_NODE)
 
 
 def _changes_of(h: History, chain: DataFrame) -> DataFrame:
@@ -100,10 +122,11 @@ def history_by_name(h: History, function_name: str) -> DataFrame:
 
     A name without changes is looked up as the old name of a rename.
     """
-    direct = (
+    direct = staged(
         h.function_changes.filter(F.col("function_name") == function_name)
         .select("file_path")
-        .distinct()
+        .distinct(),
+        "chain-direct",
     )
     none = direct.agg((F.count("*") == 0).alias("none"))  # one row
     former = (

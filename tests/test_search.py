@@ -199,3 +199,34 @@ def test_project_context(spark):
     ]
     assert dicts(got["doc_count"]) == [{"doc_count": 2}]
     assert [r["name"] for r in dicts(got["doc_names"])] == ["a.rst", "b.md"]
+
+
+def test_a_chain_reads_the_renames_once(spark, make_history):
+    chain = [("c", f"n{i}", "a.py", "function", f"n{i + 1}", "a.py", "function", 0.9, None) for i in range(6)]
+    changes = [("n3", "a.py", "c3", "modified", 1, 1, "Ada", 5, "m")]
+    h = make_history(function_renames=chain, function_changes=changes)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    columns = h.function_renames.drop("signals")
+    h = h.with_tables(function_renames=columns.mapInPandas(counted, columns.schema))
+    seeds = spark.createDataFrame([("a.py", "n3", "a.py")], "seed string, name string, path string")
+    assert {r["name"] for r in lineage.rename_chain(h, seeds).collect()} == {f"n{i}" for i in range(7)}
+    assert read.value == len(chain)
+
+
+def test_chains_end_at_nodes_without_a_name(spark, make_history):
+    renames = [
+        ("c", None, "a.py", "function", "n1", "a.py", "function", 0.9, None),
+        ("c", "n0", "a.py", "function", None, "a.py", "function", 0.9, None),
+        ("c", "n1", "a.py", "function", "n0", "a.py", "function", 0.9, None),
+    ]
+    h = make_history(function_renames=renames)
+    seeds = spark.createDataFrame([(None, "n1", "a.py"), ("s", "n1", "a.py"), ("s", None, "a.py")], "seed string, name string, path string")
+    assert sorted(((r["seed"], r["name"]) for r in lineage.rename_chain(h, seeds).collect()), key=str) == [
+        ("s", "n0"), ("s", "n1"), ("s", None), (None, "n0"), (None, "n1"), (None, None)
+    ]
