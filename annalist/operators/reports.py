@@ -10,7 +10,19 @@ from annalist.functions.numbers import round_exact
 from annalist.operators import activity, lineage, phases, stability
 from annalist.plans.shapes import top
 from annalist.schema import History
-from annalist.session import cut
+from annalist.session import cut, staged
+
+
+def read_once(h: History) -> History:
+    """*h* with its changes written down once, without hash and message: a report goes through them many times,
+    and every time would repeat the joins they come from."""
+    kept = [c for c in h.function_changes.columns if c not in ("commit_hash", "message")]
+    return h.with_tables(function_changes=staged(h.function_changes.select(*kept), "report-changes"))
+
+
+def _profile(h: History) -> DataFrame:
+    """One row per function of *h*, read by several sections."""
+    return staged(activity.change_profile(h.function_changes), "report-profile")
 
 
 def recent_phase(timeline: DataFrame) -> DataFrame:
@@ -26,13 +38,15 @@ def summary(h: History, as_of: int) -> dict[str, DataFrame]:
     """The one-screen overview, a DataFrame per section."""
     named = [F.col("function_name").alias("name"), F.col("file_path").alias("file")]
     changes = F.col("change_count").alias("changes")
+    h = read_once(h)
+    profile = _profile(h)
     return {
         "stats": activity.stats(h),
-        "hotspots": activity.hotspots(h, limit=5).select(*named, changes),
-        "fragile_zones": activity.fragile_functions(h, limit=3).select(*named, changes),
+        "hotspots": activity.hotspot_rows(profile, limit=5).select(*named, changes),
+        "fragile_zones": activity.fragile_rows(profile, limit=3).select(*named, changes),
         "top_authors": activity.authors(h, limit=3).select("author", changes),
         "languages": activity.languages(h),
-        "stability_distribution": stability.distribution(stability.scores(h, as_of)),
+        "stability_distribution": stability.distribution(stability.score_rows(h.functions, profile, as_of)),
         "phase": recent_phase(activity.timeline(h, as_of, months=12)).select("phase"),
     }
 
@@ -137,8 +151,11 @@ def stability_facts(distribution: DataFrame) -> DataFrame:
     return row.select("total", pct.cast("int").alias("stable_pct"), "critical", "volatile")
 
 
-def hotspot_notes(h: History, limit: int = 10) -> DataFrame:
-    return activity.hotspots(h, limit=limit).select(
+def hotspot_notes(h: History, limit: int = 10, profile: DataFrame | None = None) -> DataFrame:
+    """The first hotspots in words; the *profile* of the changes may be given."""
+    if profile is None:
+        profile = activity.change_profile(h.function_changes)
+    return activity.hotspot_rows(profile, limit).select(
         F.col("function_name").alias("name"), F.col("file_path").alias("file"),
         F.format_string("Changed %d times by %d author(s).", "change_count", "author_count").alias(
             "explanation"
@@ -147,11 +164,13 @@ def hotspot_notes(h: History, limit: int = 10) -> DataFrame:
     )
 
 
-def archaeology(h: History, limit: int = 10) -> DataFrame:
-    """Notes on the first fragile and the first stale functions."""
+def archaeology(h: History, limit: int = 10, profile: DataFrame | None = None) -> DataFrame:
+    """Notes on the first fragile and the first stale functions; the *profile* of the changes may be given."""
+    if profile is None:
+        profile = activity.change_profile(h.function_changes)
     name = [F.col("function_name").alias("name"), F.col("file_path").alias("file")]
     day = F.date_format(F.date_from_unix_date(F.floor(F.col("last_changed") / 86400).cast("int")), "yyyy-MM-dd")
-    fragile = activity.fragile_functions(h, limit=limit).select(
+    fragile = activity.fragile_rows(profile, limit).select(
         F.lit("fragile").alias("kind"), *name,
         F.format_string("Modified %d times by %d author(s).", "modify_count", "author_count").alias(
             "observation"
@@ -175,17 +194,22 @@ def executive_facts(
     months: int = 120,
     spells: DataFrame | None = None,
     ratings: DataFrame | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of the counts an overview starts with; phases and ratings may be given."""
+    """One row of the counts an overview starts with; phases, ratings and the profile of the changes may be given,
+    by a caller whose changes are written down."""
+    if profile is None:
+        h = read_once(h)
+        profile = _profile(h)
     if spells is None:
         spells = phases.project_phases(activity.timeline(h, as_of, months))
     if ratings is None:
-        ratings = stability.distribution(stability.scores(h, as_of), changed_only=True)
+        ratings = stability.distribution(stability.score_rows(h.functions, profile, as_of), changed_only=True)
     flagged = F.col("rating").isin("volatile", "critical")
     counts = [
-        activity.stats(h).select("functions", "commits", "changes"),
+        activity.stats(h, ["functions", "commits", "changes"]),
         spells.agg(F.count("*").alias("phases")),
-        activity.fragile_functions(h, limit=None).agg(F.count("*").alias("fragile")),
+        activity.fragile_rows(profile, limit=None).agg(F.count("*").alias("fragile")),
         ratings.agg(
             F.coalesce(F.sum(F.when(flagged, F.col("functions"))), F.lit(0)).alias("flagged")
         ),
@@ -202,20 +226,22 @@ def report_data(h: History, as_of: int) -> dict[str, DataFrame]:
 
     What several sections read, by month, phase or sampled function, is computed once.
     """
+    h = read_once(h)
+    profile = _profile(h)
     timeline = cut(activity.timeline(h, as_of, months=120))
     spells = cut(phases.project_phases(timeline))
     themes = cut(phases.period_themes(h, spells))
-    sample, ratings = stability.listing_and_ratings(h, as_of)
+    sample, ratings = stability.listing_and_ratings(h, as_of, profile)
     return {
         "stats": activity.stats(h),
         "timeline": timeline,
-        "hotspots": activity.hotspots(h, limit=20),
+        "hotspots": activity.hotspot_rows(profile, limit=20),
         "stability": sample,
         "stability_dist": ratings,
         "authors": activity.authors(h, limit=100),
         "languages": activity.languages(h),
         "commits_by_month": activity.commits_by_month(h),
-        "fragile_zones": activity.fragile_functions(h),
+        "fragile_zones": activity.fragile_rows(profile, limit=15),
         "stale_zones": activity.stale_functions(h),
         "coauthorship_patterns": activity.coauthorship(h),
         "feature_expansion": activity.feature_expansion(h),
@@ -229,7 +255,7 @@ def report_data(h: History, as_of: int) -> dict[str, DataFrame]:
         "ownership_facts": ownership_facts(h),
         "contributor_facts": contributor_facts(h),
         "convergence_points": convergence_points(h),
-        "hotspot_notes": hotspot_notes(h),
-        "archaeology": archaeology(h),
-        "executive_facts": executive_facts(h, as_of, spells=spells, ratings=ratings),
+        "hotspot_notes": hotspot_notes(h, profile=profile),
+        "archaeology": archaeology(h, profile=profile),
+        "executive_facts": executive_facts(h, as_of, spells=spells, ratings=ratings, profile=profile),
     }

@@ -18,7 +18,7 @@ from annalist.operators.activity import (
 from annalist.operators.ownership import bus_factor
 from annalist.plans.shapes import top
 from annalist.schema import History
-from annalist.session import cut
+from annalist.session import cut, staged
 
 # Weight of each part of the score, and the age that counts as settled.
 WEIGHTS = {"rate": 0.5, "recency": 0.3, "spread": 0.2}
@@ -79,9 +79,11 @@ def stability(
     return top(scores(h, as_of, file_filter), limit, order, "file_path", "function_name")
 
 
-def listing_and_ratings(h: History, as_of: int) -> tuple[DataFrame, DataFrame]:
-    """The report's listing, and the ratings of all changed functions behind it."""
-    scored = cut(scores(h, as_of))
+def listing_and_ratings(h: History, as_of: int, profile: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The report's listing, and the ratings of all changed functions behind it; the *profile* of the changes may be given."""
+    if profile is None:
+        profile = change_profile(h.function_changes)
+    scored = staged(score_rows(h.functions, profile, as_of), "report-scores")
     return _sample(scored), distribution(scored, changed_only=True)
 
 
