@@ -2,13 +2,16 @@
 
 Sets meet in bands of equal size: band *b* holds sizes from 2**(b-1) to 2**b - 1. A set enters its own
 band and, if it may be the smaller partner of a set there, the next. In a band the domain of shingles is
-cut into slices by hash, and every occupied slice gives one signature: the hash of all the shingles that
-the set has in it.
+cut into slices by hash, and an occupied slice has one signature: the hash of all the shingles that the
+set has in it.
 
-Two sets with a Jaccard similarity of at least 3/4 differ in at most a third of the smaller and two
-sevenths of the larger set. A set that occupies more slices than that keeps at least one occupied slice
-untouched, whatever the differences are, so the two share a signature. The number of slices is chosen so
-that sets occupy enough of them; one that by chance does not also gives every shingle as a signature.
+Two sets with a Jaccard similarity of at least 3/4 differ in at most a seventh of their sizes together,
+which a set knows up to the size of its partner. A set that occupies more slices than that keeps some of
+them untouched, whatever the differences are, so the two share at least as many signatures as it occupies
+slices beyond the differences. Of so many, the first in an order that is the same for all sets stands
+among the first ``differences + 1`` of either set; these are all that a set gives. The number of slices is
+chosen so that sets occupy enough of them; one that by chance does not gives all its signatures, and every
+shingle as a signature.
 
 Sets are known by 64-bit sums of scrambled shingle hashes, so equal sets are one set throughout.
 Candidates are compared exactly. A signature's sets are first compared with the smallest of them; where
@@ -89,6 +92,8 @@ def _signatures(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tupl
         mine = joins[rows]
         if not mine.any():
             continue
+        top = (1 << (band + up)) - 1
+        apart = (sizes + np.minimum(4 * sizes // 3, top)) // 7  # as far as a partner in this band may be
         in_band = (band + up)[rows[mine]]
         slices = (np.ceil(SLICES * ((1 << in_band) - 1)) + MORE).astype(np.uint64)
         spot = (place[mine] * slices) >> np.uint64(32)
@@ -98,13 +103,20 @@ def _signatures(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> tupl
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         sums = np.add.reduceat(element[mine][order], starts)
         tag = mix(spot[order][starts] * np.uint64(64) + in_band[order][starts].astype(np.uint64) + _SEEDS[5])
-        out.append(mix(sums + tag))
-        of.append(rows[mine][order][starts])
-        occupied = np.bincount(of[-1], minlength=len(sizes))
-        loose = (joins & (3 * occupied <= sizes))[rows[mine]]
-        if loose.any():
-            out.append(mix(element[mine][loose] + _SEEDS[6] + in_band[loose].astype(np.uint64)))
-            of.append(rows[mine][loose])
+        signature, row = mix(sums + tag), rows[mine][order][starts]
+        occupied = np.bincount(row, minlength=len(sizes))
+        loose = joins & (occupied <= apart)
+        # the order is the same for all sets: slices with many shingles first, then by signature
+        ranked = np.lexsort((signature, -np.diff(np.append(starts, len(key))), row))
+        signature, row = signature[ranked], row[ranked]
+        rank = np.arange(len(row)) - (np.cumsum(occupied) - occupied)[row]
+        kept = (rank <= apart[row]) | loose[row]
+        out.append(signature[kept])
+        of.append(row[kept])
+        each = loose[rows[mine]]
+        if each.any():
+            out.append(mix(element[mine][each] + _SEEDS[6] + in_band[each].astype(np.uint64)))
+            of.append(rows[mine][each])
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(out), np.concatenate(of)

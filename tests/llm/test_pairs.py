@@ -200,3 +200,28 @@ def test_decoding_lists_all_filters():
     assert len(set(found.tolist())) == len(found) >= 12
     least = min(scores[f] for f in found)
     assert {n for n, s in scores.items() if s > least} <= set(found.tolist())
+
+
+def test_partenum_gives_no_more_signatures_than_partners_may_differ_in():
+    """A set gives one signature more than a partner may differ in, per band, and similar sets still share one."""
+    random = np.random.Generator(np.random.PCG64(5))
+    for n in (1, 2, 3, 4, 7, 12, 31, 48, 63, 64, 150, 255, 256, 500):
+        whole = random.integers(0, 2**63, n + n // 3, dtype=np.uint64)
+        base, sets = np.unique(whole[:n]), []
+        for more in range(0, n // 3 + 1, max(1, n // 12)):
+            # *more* shingles come and as many go as a Jaccard similarity of 3/4 allows
+            less = (len(base) - 3 * more) // 4 if len(base) >= 3 * more else 0
+            sets.append(np.unique(np.concatenate([base[less:], whole[n : n + more]])))
+        sets.append(base)
+        sizes = np.array([len(s) for s in sets])
+        rows = np.repeat(np.arange(len(sets)), sizes)
+        signatures, of = partenum._signatures(np.concatenate(sets), rows, sizes)
+        mine = [set(signatures[of == i].tolist()) for i in range(len(sets))]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                common = len(np.intersect1d(a, b))
+                if 4 * common >= 3 * (len(a) + len(b) - common):
+                    assert mine[i] & mine[j], (n, len(a), len(b))
+        bands = 1 + (4 * sizes >= 3 * (1 << np.frexp(sizes)[1]))
+        if n >= 150:
+            assert all(len(m) <= k * (s // 3 + 1) for m, k, s in zip(mine, bands, sizes))
