@@ -1,10 +1,10 @@
 """Secret scan: exact rules, and a character convolutional network for what they miss.
 
 One pass over the texts finds the base matches and further candidates, long tokens with a digit that no
-base match touches, each with a window of its surroundings. The network is trained in numpy on a bounded
-sample of labelled findings: base matches against tokens of prose and plain numbers. Its scores are
-calibrated on held-out findings, where the threshold is the highest that still finds the wanted share.
-Then every candidate is scored.
+base match touches, each with a window of its surroundings. The network is trained on all labelled
+findings, base matches against tokens of prose and plain numbers, in shards whose networks are averaged
+after every epoch. Its scores are calibrated on held-out findings, where the threshold is the highest that
+still finds the wanted share. Then every candidate is scored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[A-Za-z]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 BEFORE, WINDOW = 24, 88
-SAMPLE = 1500  # findings of either label that training reads at most
+EPOCHS, SIZE = 8, 64
+SHARD, SHARDS = 4096, 64  # findings that are worth a shard of their own, and shards at most
+GRID = 1000
+NAMES = ("w", "b", "v", "c")
 FILTERS, WIDTH, SYMBOLS = 24, 5, 64
 RECALL = 0.98
 _SYMBOL = np.full(128, 63, dtype=np.uint8)
@@ -115,114 +118,201 @@ class Network:
         self.v = random.normal(0, 0.2, 2 * FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.first, self.second = ({n: np.zeros_like(getattr(self, n)) for n in NAMES} for _ in range(2))
+        self.steps = 0
 
-    def _spread(self, codes: np.ndarray) -> np.ndarray:
-        """One-hot windows of the convolution."""
-        n, places = len(codes), WINDOW - WIDTH + 1
-        flat = np.zeros((n * places, WIDTH * SYMBOLS), dtype=np.float32)
-        rows = np.arange(n * places)
-        for k in range(WIDTH):
-            flat[rows, k * SYMBOLS + codes[:, k : k + places].ravel()] = 1
-        return flat
-
-    def _forward(self, codes: np.ndarray, flat: np.ndarray | None = None):
+    def _forward(self, codes: np.ndarray):
         places = WINDOW - WIDTH + 1
-        if flat is None:
-            hidden = np.zeros((len(codes), places, FILTERS), dtype=np.float32)
-            for k in range(WIDTH):
-                hidden += self.w[k * SYMBOLS : (k + 1) * SYMBOLS][codes[:, k : k + places]]
-        else:
-            hidden = (flat @ self.w).reshape(len(codes), places, FILTERS)
+        hidden = np.zeros((len(codes), places, FILTERS), dtype=np.float32)
+        for k in range(WIDTH):
+            hidden += self.w[k * SYMBOLS : (k + 1) * SYMBOLS][codes[:, k : k + places]]
         hidden = np.maximum(hidden + self.b, 0)
         top_in = hidden[:, BEFORE:].argmax(axis=1)
         top_out = hidden[:, :BEFORE].argmax(axis=1)
         pooled = np.concatenate([hidden[:, BEFORE:].max(axis=1), hidden[:, :BEFORE].max(axis=1)], axis=1)
         return pooled, top_in + BEFORE, top_out, pooled @ self.v + self.c
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, size: int = 64) -> None:
+    def learn(self, codes: np.ndarray, labels: np.ndarray, weights: np.ndarray, rate: float = 0.01) -> None:
+        """One step of Adam."""
+        pooled, top_in, top_out, score = self._forward(codes)
+        error = (weights * ((1 / (1 + np.exp(-np.clip(score, -30, 30)))) - labels)).astype(np.float32) / len(codes)
+        back = error[:, None] * self.v[None, :] * (pooled > 0)
+        # only the places that gave the largest values pass anything back
+        top, filters = np.concatenate([top_in, top_out], axis=1), np.tile(np.arange(FILTERS), 2)
+        rows, slope = np.arange(len(codes))[:, None], np.zeros(self.w.size)
+        for k in range(WIDTH):
+            cells = (k * SYMBOLS + codes[rows, top + k]) * FILTERS + filters
+            slope += np.bincount(cells.ravel(), weights=back.ravel(), minlength=self.w.size)
+        slopes = {
+            "w": slope.reshape(self.w.shape) + 1e-4 * self.w, "b": back.reshape(-1, 2, FILTERS).sum(axis=(0, 1)),
+            "v": pooled.T @ error + 1e-4 * self.v, "c": error.sum(keepdims=True),
+        }
+        self.steps += 1
+        for n in NAMES:
+            self.first[n] = (0.9 * self.first[n] + 0.1 * slopes[n]).astype(np.float32)
+            self.second[n] = (0.999 * self.second[n] + 0.001 * slopes[n] ** 2).astype(np.float32)
+            change = rate * (self.first[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[n] / (1 - 0.999**self.steps)) + 1e-8)
+            setattr(self, n, (getattr(self, n) - change).astype(np.float32))
+
+    def fit(self, codes: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, size: int = SIZE) -> None:
         random = np.random.Generator(np.random.PCG64(11))
-        names = ("w", "b", "v", "c")
-        first = {n: np.zeros_like(getattr(self, n)) for n in names}
-        second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        step, places = 0, WINDOW - WIDTH + 1
         for _ in range(epochs):
             order = random.permutation(len(codes))
             for at in range(0, len(order), size):
                 rows = order[at : at + size]
-                flat = self._spread(codes[rows])
-                pooled, top_in, top_out, score = self._forward(codes[rows], flat)
-                error = ((1 / (1 + np.exp(-score))) - labels[rows]).astype(np.float32) / len(rows)
-                back = error[:, None] * self.v[None, :] * (pooled > 0)
-                deep = np.zeros((len(rows), places, FILTERS), dtype=np.float32)
-                i, f = np.arange(len(rows))[:, None], np.arange(FILTERS)[None, :]
-                deep[i, top_in, f] += back[:, :FILTERS]
-                deep[i, top_out, f] += back[:, FILTERS:]
-                deep = deep.reshape(-1, FILTERS)
-                slopes = {"w": flat.T @ deep + 1e-4 * self.w, "b": deep.sum(axis=0), "v": pooled.T @ error + 1e-4 * self.v, "c": error.sum(keepdims=True)}
-                step += 1
-                for n in names:
-                    first[n] = 0.9 * first[n] + 0.1 * slopes[n]
-                    second[n] = 0.999 * second[n] + 0.001 * slopes[n] ** 2
-                    change = rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-                    setattr(self, n, (getattr(self, n) - change).astype(np.float32))
+                self.learn(codes[rows], labels[rows], np.ones(len(rows)), rate)
+
+    def state(self) -> np.ndarray:
+        """What learning changes, as one row of numbers."""
+        parts = [part[n].ravel() for part in (vars(self), self.first, self.second) for n in NAMES]
+        return np.concatenate([*parts, [self.steps]]).astype(np.float32)
+
+    def restore(self, state: np.ndarray) -> None:
+        at = 0
+        for part in (vars(self), self.first, self.second):
+            for n in NAMES:
+                part[n] = state[at : at + part[n].size].reshape(part[n].shape).astype(np.float32)
+                at += part[n].size
+        self.steps = int(state[at])
 
     def calibrate(self, codes: np.ndarray, labels: np.ndarray, recall: float) -> None:
-        """Platt's slope and shift by Newton steps, and the highest threshold with the wanted recall."""
-        score = self._forward(codes)[3].astype(np.float64)
-        positives, negatives = labels.sum(), (1 - labels).sum()
+        self.settle(self.raw(codes), labels, np.ones(len(labels)), recall)
+
+    def settle(self, score: np.ndarray, labels: np.ndarray, counts: np.ndarray, recall: float) -> None:
+        """Platt's slope and shift by Newton steps, both labels weighing alike, and the highest threshold with the
+        wanted recall; *counts* says how often each score stands."""
+        of = np.array([counts[labels == 0].sum(), counts[labels > 0].sum()])
+        times = counts * (of.sum() / (2 * np.maximum(of, 1)))[(labels > 0).astype(int)]
+        positives, negatives = times[labels > 0].sum(), times[labels == 0].sum()
         aim = np.where(labels > 0, (positives + 1) / (positives + 2), 1 / (negatives + 2))
         a, b = 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * score + b, -30, 30)))
-            weight = p * (1 - p) + 1e-6
-            g = np.array([((p - aim) * score).sum() + 1e-3 * (a - 1), (p - aim).sum()])
+            weight = times * (p * (1 - p) + 1e-6)
+            g = np.array([(times * (p - aim) * score).sum() + 1e-3 * (a - 1), (times * (p - aim)).sum()])
             h = np.array([[(weight * score * score).sum() + 1e-3, (weight * score).sum()], [(weight * score).sum(), weight.sum()]])
             change = np.linalg.solve(h, g)
             a, b = a - change[0], b - change[1]
         self.slope, self.shift = float(a), float(b)
-        hits = np.sort(self.probability(codes)[labels > 0])
-        self.threshold = max(0.5, float(hits[int((1 - recall) * len(hits))])) if len(hits) else 2.0
+        hits, times = self._scaled(score[labels > 0]), counts[labels > 0]
+        order = np.argsort(hits)
+        passed = np.cumsum(times[order]) > int((1 - recall) * times.sum())
+        self.threshold = max(0.5, float(hits[order][passed.argmax()])) if len(hits) else 2.0
 
-    def probability(self, codes: np.ndarray) -> np.ndarray:
+    def raw(self, codes: np.ndarray) -> np.ndarray:
         parts = [self._forward(codes[i : i + 256])[3] for i in range(0, len(codes), 256)]
-        score = np.concatenate(parts) if parts else np.empty(0)
-        return 1 / (1 + np.exp(-np.clip(self.slope * score.astype(np.float64) + self.shift, -30, 30)))
+        return np.concatenate(parts).astype(np.float64) if parts else np.empty(0)
 
+    def _scaled(self, score: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -30, 30)))
 
-def train(scanned: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network | None:
-    """A network from at most *sample* findings of each label, taken in hash order; every fifth is held out
-    for calibration. None if one of the labels is missing."""
-    each = scanned.select("doc_id", F.explode("found").alias("f")).select(
-        F.col("f.label").alias("label"), F.col("f.window").alias("window"),
+    def probability(self, codes: np.ndarray) -> np.ndarray:
+        return self._scaled(self.raw(codes))
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows as the bytes of their symbol numbers."""
+    for batch in batches:
+        codes = symbols(batch["window"].to_pylist()).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], pa.array([c.tobytes() for c in codes], pa.binary())], ["key", "label", "codes"])
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WINDOW).astype(np.int64)
+
+
+def _lesson(state: np.ndarray, weights: np.ndarray):
+    """A function from rows sorted by shard to what a network that starts from *state* has learned at the end of each."""
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, network, rest, seen = None, Network(), None, 0
+
+        def take(codes: np.ndarray, labels: np.ndarray) -> None:
+            network.learn(codes, labels, weights[labels])
+
+        def ended() -> pa.RecordBatch:
+            if len(rest[1]):
+                take(*rest)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([network.state().tobytes()], pa.binary())], ["shard", "seen", "state"]
+            )
+
+        for batch in batches:
+            shards, labels, codes = batch["shard"].to_numpy(), batch["label"].to_numpy(), _codes(batch["codes"])
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1), len(shards)]
+            for first, last in zip(cuts, cuts[1:]):
+                if first == last:
+                    continue
+                if shards[first] != shard:
+                    if shard is not None:
+                        yield ended()
+                    shard, seen, rest = int(shards[first]), 0, (codes[:0], labels[:0])
+                    network.restore(state)
+                seen += last - first
+                both = np.concatenate([rest[0], codes[first:last]]), np.concatenate([rest[1], labels[first:last]])
+                whole = len(both[1]) // SIZE * SIZE
+                for at in range(0, whole, SIZE):
+                    take(both[0][at : at + SIZE], both[1][at : at + SIZE])
+                rest = both[0][whole:], both[1][whole:]
+        if shard is not None:
+            yield ended()
+
+    return learned
+
+
+def train(scanned: DataFrame, recall: float = RECALL) -> Network | None:
+    """A network from all labelled findings. In an epoch every shard of them, dealt by hash, goes on from the same
+    network, and the mean of what the shards have learned is the next one; there are at most SHARDS of them, so the
+    driver sees as many networks at once. About a fifth, by hash, is held out for calibration, as counts of scores cut to
+    1 / GRID. Both labels weigh alike. None if a label has fewer than five findings."""
+    known = scanned.select("doc_id", F.explode("found").alias("f")).filter("f.label >= 0").select(
         F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("f.start").cast("string"), F.col("f.window"))).alias("key"),
+        F.col("f.label").alias("label"), F.col("f.window").alias("window"),
     )
-    found = []
-    for label in (0, 1):
-        rows = each.filter(F.col("label") == label).orderBy("key").limit(sample).select("key", "window", "label").collect()
-        if len(rows) < 5:
-            return None
-        found += rows
-    found.sort(key=lambda r: r["key"])
-    codes = symbols([r["window"] for r in found])
-    labels = np.array([r["label"] for r in found], dtype=np.float32)
-    held = np.arange(len(found)) % 5 == 0
+    examples = staged(known.mapInArrow(_examples, "key string, label int, codes binary"), "secrets-examples")
+    found = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}  # two rows
+    if min(found.get(0, 0), found.get(1, 0)) < 5:
+        return None
+    total = sum(found.values())
+    weights = np.array([total / (2 * found[label]) for label in (0, 1)])
+    shards = min(SHARDS, -(-total // SHARD))
+    held = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
     network = Network()
-    network.fit(codes[~held], labels[~held])
-    network.calibrate(codes[held], labels[held], recall)
+    for epoch in range(EPOCHS):
+        at = F.xxhash64("key", F.lit(epoch))
+        dealt = examples.filter(~held).select("key", "label", "codes", at.alias("at"), F.pmod(at, F.lit(shards)).alias("shard"))
+        parts = (
+            dealt.repartition(shards, "shard").sortWithinPartitions("shard", "at", "key")
+            .mapInArrow(_lesson(network.state(), weights), "shard bigint, seen bigint, state binary").collect()
+        )
+        parts.sort(key=lambda p: p["shard"])
+        if parts:
+            network.restore(np.average([np.frombuffer(p["state"], np.float32) for p in parts], axis=0, weights=[p["seen"] for p in parts]))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.floor(np.clip(network.raw(_codes(batch["codes"])), -30, 30) * GRID).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(score)], ["label", "score"])
+
+    counted = examples.filter(held).select("label", "codes").mapInArrow(scores, "label int, score bigint").groupBy("score", "label").count().collect()
+    score, labels, counts = (np.array([float(r[c]) for r in counted]) for c in ("score", "label", "count"))
+    if len(counted):
+        network.settle(score / GRID, labels, counts, recall)
+    else:
+        network.threshold = 2.0
     return network
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
+def scan(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """(doc_id, found) for every row of *docs*: an array of (kind, start, end) of all spans, by start and
     kind; ends are exclusive, places are code points.
 
     NULL text counts as empty, repeated rows are scanned each, an empty table gives an empty result and no
-    network, other columns are ignored. Where the sample has fewer than five findings of a label there is no
+    network, other columns are ignored. Where there are fewer than five findings of a label there is no
     network, and the base spans stand alone.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     scanned = staged(docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {key}, found {FOUND}"), "secrets-found")
-    network = train(scanned, sample, recall)
+    network = train(scanned, recall)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -269,3 +269,23 @@ def test_network_finds_what_it_learned():
     score = network.probability(codes[held])
     assert (score[labels[held] > 0] >= network.threshold).mean() >= 0.95
     assert (score[labels[held] == 0] >= network.threshold).mean() <= 0.05
+
+
+def test_network_learns_from_all_findings(spark, monkeypatch):
+    """More than 1,500 findings of a label all take part, and the way rows are dealt changes nothing."""
+    monkeypatch.setattr(secretscan, "SHARD", 100)
+    monkeypatch.setattr(secretscan, "EPOCHS", 2)
+    lesson, seen = secretscan._lesson, []
+    monkeypatch.setattr(secretscan, "_lesson", lambda state, weights: seen.append(weights) or lesson(state, weights))
+    rows = [(i, prose(i, 12), "en", "a") for i in range(1900)]
+    rows += [(5000 + i, prose(i, 12) + f" secret: {hashlib.sha1(str(i).encode()).hexdigest()}", "en", "a") for i in range(40)]
+    found = docs(spark, rows).select("doc_id", "text").mapInArrow(secretscan._scan, f"doc_id bigint, found {secretscan.FOUND}")
+    labels = [f["label"] for r in found.collect() for f in r["found"] if f["label"] >= 0]
+    network = secretscan.train(found)
+    assert labels.count(0) > 1500
+    assert seen[0].tolist() == [len(labels) / (2 * labels.count(k)) for k in (0, 1)]
+    again = secretscan.train(found.repartition(5))
+    assert (network.state() == again.state()).all() and network.threshold == again.threshold
+    codes = secretscan.symbols([("x" * 14 + " secret: " + "a1" * 20).ljust(88), prose(3, 30)[:88]])
+    high, low = network.probability(codes)
+    assert high >= network.threshold > low
