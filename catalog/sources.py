@@ -156,7 +156,10 @@ def head_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (order, part): what happened (ln), a quantity (q), and n blocks."""
-    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
+    # spread before they are grouped: where the grouping makes the same partitions, a later repartition is dropped
+    # and adaptive execution merges those of the grouping by their bytes
+    spread = read(spark, sf_dir, "lineitem").repartition(_width(spark), "l_orderkey", "l_partkey")
+    items = spread.groupBy("l_orderkey", "l_partkey").agg(
         F.min("l_linenumber").alias("ln"), F.sum("l_quantity").cast("int").alias("q")
     )
     parts = read(spark, sf_dir, "part").select(

@@ -337,3 +337,23 @@ def test_characters_are_counted_by_batch(spark):
         text = texts[row["i"]] or ""
         want = [sum(c in group for c in text) for group in renames._GROUPS]
         assert list(row["p"]) == [*want, len(text) - sum(want)]
+
+
+def test_file_versions_are_spread_by_count(spark, tmp_path):
+    """Also where the shuffle width is the width asked for, so that the grouping could stand for the repartition."""
+    from pyspark.sql import functions as F
+
+    from catalog import sources
+
+    items = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame([(i, i % 7, 1, 2.0) for i in range(50)], items).write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = "p_partkey long, p_type string, p_size int"
+    spark.createDataFrame([(i, "T", i) for i in range(7)], parts).write.parquet(f"{tmp_path}/part.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = sources.versions(spark, str(tmp_path)).select("l_orderkey", F.explode(F.array("ln", "n")))
+        assert rows.rdd.getNumPartitions() == 64
+        assert rows.count() == 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
