@@ -158,8 +158,8 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (order, part): what happened (ln), a quantity (q), and n blocks."""
     # spread before they are grouped: where the grouping makes the same partitions, a later repartition is dropped
     # and adaptive execution merges those of the grouping by their bytes
-    spread = read(spark, sf_dir, "lineitem").repartition(_width(spark), "l_orderkey", "l_partkey")
-    items = spread.groupBy("l_orderkey", "l_partkey").agg(
+    lines = spread(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    items = lines.groupBy("l_orderkey", "l_partkey").agg(
         F.min("l_linenumber").alias("ln"), F.sum("l_quantity").cast("int").alias("q")
     )
     parts = read(spark, sf_dir, "part").select(
@@ -176,6 +176,11 @@ def _width(spark: SparkSession) -> int:
     )
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """*rows* in that many partitions, by *key*."""
+    return rows.repartition(_width(rows.sparkSession), *key)
+
+
 def _is_python() -> Column:
     return F.col("l_partkey") % 2 == 0
 

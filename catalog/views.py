@@ -66,7 +66,11 @@ def _commit_columns() -> list[Column]:
 
 @view
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select(
+    return _commits_of(read(spark, sf_dir, "orders"))
+
+
+def _commits_of(orders: DataFrame) -> DataFrame:
+    return orders.select(
         commit_id("o_orderkey").alias("hash"),
         *_commit_columns(),
         (F.col("o_orderkey") % 5 + 1).cast("int").alias("files_changed"),
@@ -256,9 +260,11 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @view
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.documents(
-        history(spark, sf_dir, "commits", "functions", "function_changes", "blame_entries")
-    )
+    # texts are made of every commit and change, so these rows are spread by count before anything is made of them
+    orders = sources.spread(read(spark, sf_dir, "orders"), "o_orderkey")
+    items = sources.spread(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    h = history(spark, sf_dir, "functions", "blame_entries")
+    return search.documents(h.with_tables(commits=_commits_of(orders), function_changes=changes_of(spark, sf_dir, items)))
 
 
 # ---- the same views as SQL -----------------------------------------------------

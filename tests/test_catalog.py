@@ -76,3 +76,15 @@ def test_results_do_not_depend_on_partitions(spark):
     wide = h.with_tables(function_changes=h.function_changes.repartition(13))
     for operator in (activity.hotspots, activity.authors, activity.coauthorship, activity.untested_changes):
         assert dicts(operator(h)) == dicts(operator(wide))
+
+
+def test_search_documents_are_made_in_many_tasks(spark):
+    """The sample is one row group, which one task would read and make all texts of."""
+    from pyspark.sql import functions as F
+
+    from catalog.views import VIEWS
+
+    docs = VIEWS["search_index"](spark, SF)
+    for kind in ("commit", "change"):
+        words = docs.filter(F.col("type") == kind).select(F.explode(F.split("content", " ")))
+        assert words.rdd.getNumPartitions() >= 32
