@@ -357,3 +357,21 @@ def test_file_versions_are_spread_by_count(spark, tmp_path):
         assert rows.count() == 100
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_lines_of_a_batch_are_read_once(monkeypatch):
+    """Two versions of a file share their lines; both sides of a row are compared in the helper."""
+    import pyarrow as pa
+
+    read = []
+    plain = definitions._named
+    monkeypatch.setattr(definitions, "_named", lambda line, language: read.append(line) or plain(line, language))
+    before = "def f():\n    return 1\n\ndef g():\n    return 2"
+    after = before.replace("2", "3")
+    found = definitions.comparer(True).func(*[pa.array(x) for x in ([before, None, before], [after, after, before], ["python"] * 3)]).to_pylist()
+    assert [[(d["name"], d["change_type"], d["start_line"], d["end_line"], d["body"]) for d in row] for row in found] == [
+        [("g", "modified", 4, 5, None)],
+        [("f", "added", 1, 2, "def f():\n    return 1"), ("g", "added", 4, 5, "def g():\n    return 3")],
+        [],
+    ]
+    assert len(read) == len(set(read))
