@@ -359,6 +359,67 @@ def test_file_versions_are_spread_by_count(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+# ---- renames of commits that lie in one task ---------------------------------------------------
+
+
+def as_matched(spark, rows, across=True):
+    df = spark.createDataFrame(rows, LOOSE)
+    out = changes.matched(df, across)
+    return sorted(map(repr, (tuple(r) for r in out.collect())))
+
+
+@pytest.mark.parametrize("across", [True, False])
+def test_commits_in_one_task_and_in_joins_give_the_same(spark, monkeypatch, across):
+    """Also with rows that come twice, files that are in the root, changes that are no ends, and commits without a hash."""
+    rng = random.Random(11)
+    rows = loose_rows(rng, commits=7, per_side=11, files=[*FILES, "/x.py"])
+    rows += rng.sample(rows, 12)
+    rows += [(None, *r[1:]) for r in rows[:9]] + [(*r[:4], "modified", *r[5:11], None) for r in rows[:5]]
+    rows += [("c1", "a.py", "é", "function", side, i, i, i, "", "e", 0, "") for i, side in enumerate(("deleted", "added"), 1)]
+    one_task = as_matched(spark, rows, across)
+    monkeypatch.setattr(renames, "TOGETHER", 0)
+    assert as_matched(spark, rows, across) == one_task
+    monkeypatch.setattr(renames, "TOGETHER", 20)  # some commits each way
+    assert as_matched(spark, rows, across) == one_task
+
+
+def test_batches_cut_commits_anywhere():
+    import pyarrow as pa
+    from annalist.operators import together
+
+    rows = sorted(loose_rows(random.Random(5), commits=5, per_side=9, files=FILES))
+    names = [c.split()[0] for c in LOOSE.replace("body_hash", "lines").split(", ")]
+    columns = dict(zip(names, zip(*rows)))
+    columns["lines"] = [e - s + 1 for s, e in zip(columns["start_line"], columns["end_line"])]
+    types = {"place": pa.int32(), "start_line": pa.int32(), "end_line": pa.int32()}
+    whole = pa.RecordBatch.from_arrays([pa.array(v, types.get(k)) for k, v in columns.items()], names)
+
+    def found(size):
+        parts = [whole.slice(i, size) for i in range(0, whole.num_rows, size)]
+        return sorted(map(repr, (r for b in together.matcher(True)(iter(parts)) for r in b.to_pylist())))
+
+    want = {(o[0], o[2], o[1], o[3], o[4]) for o in plain_greedy(rows, False)}
+    assert found(1) == found(7) == found(1000)
+    monkey = together.PAIRS
+    try:
+        together.PAIRS = 3
+        assert found(1000) == found(7)
+    finally:
+        together.PAIRS = monkey
+    inside = plain_greedy(rows, True)
+    got = [r for b in together.matcher(False)(iter([whole])) for r in b.to_pylist() if r["change_type"] == "renamed"]
+    assert {(r["commit_hash"], r["kind"], r["old_name"], r["old_file_path"], r["name"], r["file_path"], r["confidence"]) for r in got} == inside and want
+
+
+def test_ordinary_commits_meet_after_one_shuffle(spark, monkeypatch):
+    """No join, and no step that is repeated for every round of the choice."""
+    rows = loose_rows(random.Random(6), commits=3, per_side=8, files=FILES)
+    monkeypatch.setattr(renames, "match", lambda *a, **k: pytest.fail("ends of small commits were joined"))
+    out = changes.matched(spark.createDataFrame(rows, LOOSE), True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and out.count() > 0
+
+
 def test_lines_of_a_batch_are_read_once(monkeypatch):
     """Two versions of a file share their lines; both sides of a row are compared in the helper."""
     import pyarrow as pa
